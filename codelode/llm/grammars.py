@@ -226,8 +226,10 @@ import <- 'import' STRING attrs? eos / 'import' 'type'? clause 'from' STRING att
 spec <- 'type'? (word / STRING) 'as' (word / STRING) / 'type' word / word / STRING
 export <- 'export' '=' expr eos / 'export' 'as' 'namespace' ident eos / 'export' 'default' (interface / 'abstract'? classdecl / funcdecl / expr eos) / 'export' 'type'? '*' ('as' (word / STRING))? 'from' STRING attrs? eos / 'export' 'type'? named ('from' STRING attrs?)? eos / decorator* 'export' decl
 decl <- declare / interface / enum / namespace / typealias / 'abstract' !LINE classdecl / funcdecl / classdecl / vardecl eos
-declare <- 'declare' !LINE (namespace / 'global' '{' item* '}' / decl / ('const' / 'let' / 'var') ident typeann? (',' ident typeann?)* eos)
+declare <- 'declare' !LINE (ambient / 'global' '{' ambientitem* '}' / decl / ('const' / 'let' / 'var') ident typeann? (',' ident typeann?)* eos)
 statement <- blockst / ifst / forst / whilest / dost / tryst / switchst / declare / interface / enum / namespace / typealias / 'abstract' !LINE classdecl / funcdecl / classdecl / vardecl eos / ret / throw / jump / label / ';' / exprst
+ambient <- ('namespace' / 'module') !LINE (STRING / qualified) ('{' ambientitem* '}' / eos)
+ambientitem <- 'export'? ('const' / 'let' / 'var') ident typeann? (',' ident typeann?)* eos / item
 interface <- 'interface' !LINE ident typeparams? ('extends' typeref (',' typeref)*)? objtype
 enum <- 'const'? 'enum' ident '{' (enumitem (',' enumitem)* ','?)? '}'
 enumitem <- propname ('=' assign)?
