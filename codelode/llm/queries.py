@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelode.llm import parsing
+from codelode.llm import credentials, parsing, provenance
 from codelode.session import table
 
 
+def p1_found(spark, sf_dir):
+    return credentials.found(*(table(spark, sf_dir, t) for t in ("files", "contents", "semantic_chunks")))
+
+
+def p1_redacted(spark, sf_dir):
+    return credentials.redacted(table(spark, sf_dir, "contents"))
+
+
+def p2_found(spark, sf_dir):
+    return provenance.not_handwritten(table(spark, sf_dir, "contents")).select("file_id").distinct()
+
+
+def p2_reasons(spark, sf_dir):
+    return provenance.not_handwritten(table(spark, sf_dir, "contents")).groupBy("reason").agg(F.countDistinct("file_id").alias("files"))
+
+
 def p5_found(spark, sf_dir):
     return parsing.parsed(table(spark, sf_dir, "contents")).filter(~F.col("valid")).select("file_id").distinct()
 
@@ -16,7 +32,9 @@ def p5_rates(spark, sf_dir):
     return parsing.rates(parsing.parsed(table(spark, sf_dir, "contents")))
 
 
-
-QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates}
+QUERIES = {
+    "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_reasons": p2_reasons,
+    "p5_found": p5_found, "p5_rates": p5_rates,
+}
 
 ORACLE: dict[str, str] = {}
