@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelode.llm import credentials, parsing, provenance
+from codelode.llm import credentials, mixing, neighbors, overlap, packing, parsing, pieces, provenance, truncation
 from codelode.session import table
 
+#: Factor of the neighbour search: below one it may lose neighbours; the README has the measured loss.
+FACTOR = 0.6
+
+
+def setting(spark, sf_dir, name: str) -> int:
+    """One value of job_settings."""
+    return int(table(spark, sf_dir, "job_settings").filter(F.col("setting") == name).agg(F.max("setting_value")).first()[0])
+
 
 def p1_found(spark, sf_dir):
     return credentials.found(*(table(spark, sf_dir, t) for t in ("files", "contents", "semantic_chunks")))
@@ -24,6 +32,19 @@ def p2_reasons(spark, sf_dir):
     return provenance.not_handwritten(table(spark, sf_dir, "contents")).groupBy("reason").agg(F.countDistinct("file_id").alias("files"))
 
 
+def p3_found(spark, sf_dir):
+    k = setting(spark, sf_dir, "neighbors")
+    vectors = neighbors.usable(table(spark, sf_dir, "semantic_chunks"))
+    return neighbors.unordered_pairs(neighbors.nearest(vectors, F.col("chunk_id").startswith("0"), k, FACTOR))
+
+
+def p3_neighbors(spark, sf_dir):
+    """The neighbours of every chunk whose id, read as a number, is divisible by 50, against all."""
+    k = setting(spark, sf_dir, "neighbors")
+    number = F.conv(F.substring("chunk_id", -12, 12), 16, 10).cast("bigint")
+    return neighbors.nearest(neighbors.usable(table(spark, sf_dir, "semantic_chunks")), number % 50 == 0, k, FACTOR)
+
+
 def p5_found(spark, sf_dir):
     return parsing.parsed(table(spark, sf_dir, "contents")).filter(~F.col("valid")).select("file_id").distinct()
 
@@ -32,9 +53,67 @@ def p5_rates(spark, sf_dir):
     return parsing.rates(parsing.parsed(table(spark, sf_dir, "contents")))
 
 
+def p6_pieces(spark, sf_dir):
+    limit, lap = setting(spark, sf_dir, "piece_max_chars"), setting(spark, sf_dir, "piece_overlap_chars")
+    parts = table(spark, sf_dir, "document_parts").dropDuplicates(["root_id", "rel_path", "part_number", "text"])
+    return pieces.pieces(parts, limit, lap)
+
+
+def p6_found(spark, sf_dir):
+    limit, lap = setting(spark, sf_dir, "piece_max_chars"), setting(spark, sf_dir, "piece_overlap_chars")
+    return pieces.pieces(table(spark, sf_dir, "document_parts"), limit, lap).select("root_id", "rel_path", "part_number").distinct()
+
+
+def p7_found(spark, sf_dir):
+    return overlap.overlaps(table(spark, sf_dir, "tasks")).select("task_key_a", "task_key_b")
+
+
+def p7_report(spark, sf_dir):
+    return overlap.report(table(spark, sf_dir, "tasks"))
+
+
+def p8_assign(spark, sf_dir):
+    return packing.assign(table(spark, sf_dir, "documents"), setting(spark, sf_dir, "container_tokens"))
+
+
+def p8_report(spark, sf_dir):
+    return packing.report(p8_assign(spark, sf_dir))
+
+
+def p9_selection(spark, sf_dir):
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).selection()
+
+
+def p9_shares(spark, sf_dir):
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).shares()
+
+
+def p10_found(spark, sf_dir):
+    return truncation.judged(table(spark, sf_dir, "documents")).filter("reason is not null").select("doc_id").distinct()
+
+
+def p10_rates(spark, sf_dir):
+    return truncation.rates(truncation.judged(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
-    "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_reasons": p2_reasons,
-    "p5_found": p5_found, "p5_rates": p5_rates,
+    "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_reasons": p2_reasons, "p3_found": p3_found, "p3_neighbors": p3_neighbors,
+    "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_report": p7_report,
+    "p8_assign": p8_assign, "p8_report": p8_report, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p3_found": """
+with v as (
+  select chunk_id, max(vector_json) vj from semantic_chunks
+  where json_valid(vector_json) and vector_json <> '{}' and json_type(vector_json) = 'OBJECT' group by 1),
+w as (select chunk_id, unnest(map_entries(cast(vj as json)::map(varchar, double))) e from v),
+d as (select chunk_id, e.key k, e.value x from w),
+n as (select chunk_id, sqrt(sum(x * x)) n from d group by 1),
+s as (select a.chunk_id q, b.chunk_id c, sum(a.x * b.x) dot from d a join d b on a.k = b.k and a.chunk_id like '0%' and a.chunk_id <> b.chunk_id group by 1, 2),
+r as (select q, c, row_number() over (partition by q order by round(dot / (nq.n * nc.n), 6) desc, c) rn from s join n nq on nq.chunk_id = q join n nc on nc.chunk_id = c)
+select distinct least(q, c) chunk_id_a, greatest(q, c) chunk_id_b from r where rn <= 10""",
+    "p6_found": """
+select distinct root_id, rel_path, part_number from document_parts
+where length(text) > (select setting_value from job_settings where setting = 'piece_max_chars')""",
+}
