@@ -8,7 +8,7 @@ from codelode.llm import credentials, mixing, neighbors, overlap, packing, parsi
 from codelode.session import table
 
 #: Factor of the neighbour search: below one it may lose neighbours; the README has the measured loss.
-FACTOR = 0.6
+FACTOR = 0.5
 
 
 def setting(spark, sf_dir, name: str) -> int:
