@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -112,9 +113,16 @@ def same_change(a: list[str], b: list[str], cut: bool, known: frozenset) -> bool
 
 def known_words(tasks: DataFrame) -> frozenset:
     """Words that stand in at least ``KNOWN_SHARE`` of the tasks and in three; counted over all tasks."""
-    split = F.udf(lambda t: sorted(set(normal_words(t)[0])), "array<string>")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
+        for b in batches:
+            for t in b["task"]:
+                n.update(set(normal_words(t)[0]))
+        yield pd.DataFrame(n.items(), columns=["w", "n"])
+
     n = tasks.count()
-    words = tasks.select(F.explode(split("task")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= max(3.0, KNOWN_SHARE * n))
+    words = tasks.select("task").mapInPandas(work, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3.0, KNOWN_SHARE * n))
     return frozenset(r.w for r in words.toLocalIterator())
 
 
