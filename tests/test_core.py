@@ -161,3 +161,28 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sum(s.statement.count("{s: ") for s in st) == 1203 and all(s.statement.count("{s: ") <= 500 for s in st)
     lines = [r.line for r in sinks.graphml_lines(spark.createDataFrame([("a0", "<A>")], "id string, label string"), e.limit(1)).collect()]
     assert lines[0].startswith("<?xml") and "&lt;A&gt;" in lines[1] and lines[-1] == "</graph></graphml>"
+
+
+def test_privacy(spark):
+    from codelode.functions import privacy as P
+
+    hide = P.hide_standalone(F.col("x"))
+    assert one(spark, hide, "redis://svc:abc123@h/0 and redis://svc:${PW}@h/0") == "redis://svc:[hidden]@h/0 and redis://svc:${PW}@h/0"
+    assert one(spark, hide, "a\n-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----\nb") == "a\n[hidden]\nb"
+    assert one(spark, hide, "glpat-abcdefghijklmnopqrst plain") == "[hidden] plain" and one(spark, hide, None) is None
+    assert one(spark, P.secret_path(F.col("x")), "a/.env.local") and not one(spark, P.secret_path(F.col("x")), "env.py")
+    assert one(spark, P.ignored_path(F.col("x")), "A/Node_Modules/b.js") and not one(spark, P.ignored_path(F.col("x")), "vendor_portal/a.py")
+
+
+def test_feedback(spark):
+    from codelode.operators import feedback as B
+
+    rec = spark.createDataFrame([("fix render window", ["a"], None, ["b"], None), ("render window again", ["a"], ["c"], None, ["d"]), ("other thing", ["z"], None, None, None)], "query string, changed array<string>, missed array<string>, opened array<string>, ignored array<string>")
+    s = {r.path: r.signal for r in B.signals(rec, "render window").collect()}
+    assert set(s) == {"a", "b", "c", "d"} and s["a"] > s["c"] > s["b"] > 0 > s["d"]
+    rows = spark.createDataFrame([("a", 10.0), ("d", 10.0), ("n", 5.0)], "path string, score double")
+    got = {r.path: r.score for r in B.apply(rows, B.signals(rec, "render window")).collect()}
+    assert got["a"] > 10 > got["d"] and got["n"] == 5.0 and got["c"] > 0
+    assert B.signals(rec.limit(0), "x").count() == 0
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "source string, target string")
+    assert {(r.id, r.score) for r in B.spread(spark.createDataFrame([("a", 10.0)], "id string, score double"), e).collect()} == {("a", 10.0), ("b", 3.5), ("c", 1.5)}
