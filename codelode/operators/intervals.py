@@ -51,6 +51,6 @@ def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, key: str) -
 
 
 def filled_spans(symbols: DataFrame, by: str) -> DataFrame:
-    """Symbols with a missing ``line_end`` filled by the next symbol's start less one."""
+    """Symbols with a missing ``line_end`` filled by the next symbol's start less one; the last one's stays missing."""
     nxt = F.lead("line_start").over(Window.partitionBy(by).orderBy("line_start", "name"))
-    return symbols.withColumn("line_end", F.coalesce("line_end", F.greatest(F.col("line_start"), nxt - 1)))
+    return symbols.withColumn("line_end", F.coalesce("line_end", F.when(nxt.isNotNull(), F.greatest(F.col("line_start"), nxt - 1))))

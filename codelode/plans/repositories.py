@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codelode.functions import text as T
-from codelode.operators import evaluation, extraction, graph, incremental, intervals, ranking
+from codelode.operators import chunks, evaluation, extraction, graph, incremental, intervals, ranking
 from codelode.session import table
 from codelode.streaming import sessions
 
@@ -166,7 +166,7 @@ def enclosing_symbols(spark, sf):
     """How many lines each symbol holds as the innermost: lines of code joined to symbol spans."""
     c = table(spark, sf, "contents").filter(T.extension(F.col("rel_path")) == "py").groupBy("file_id").agg(F.max("content").alias("content"))
     c = c.withColumn("rel_path", F.lit("a.py"))
-    spans = intervals.filled_spans(extraction.definitions(c).withColumn("line_end", F.lit(None).cast("int")), "file_id").withColumn("symbol", F.concat_ws(":", "name", "line_start"))
+    spans = chunks.symbol_pieces(c).withColumn("symbol", F.concat_ws(":", "name", "line_start"))
     return intervals.innermost(extraction.lines(c, "file_id").filter("trim(line) <> ''"), spans, "file_id", "line_no", "symbol").groupBy("file_id", "symbol").agg(F.count("*").alias("lines"))
 
 

@@ -186,3 +186,16 @@ def test_feedback(spark):
     assert B.signals(rec.limit(0), "x").count() == 0
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "source string, target string")
     assert {(r.id, r.score) for r in B.spread(spark.createDataFrame([("a", 10.0)], "id string, score double"), e).collect()} == {("a", 10.0), ("b", 3.5), ("c", 1.5)}
+
+
+def test_chunks(spark):
+    from codelode.operators import chunks
+
+    rows = [("1", "r", "a.py", "import os\n# about f\n@deco\ndef f():\n    pass\n\ndef g():\n    pass\n"), ("1", "r", "a.py", "import os\n# about f\n@deco\ndef f():\n    pass\n\ndef g():\n    pass\n"), ("2", "r", "d.md", "# T\ntext\n"), ("3", None, "x.py", "def h(): pass"), ("4", "r", "e.py", None)]
+    c = spark.createDataFrame(rows, "file_id string, root_id string, rel_path string, content string")
+    got = {(r.rel_path, r.chunk_kind, r.chunk_text_preview) for r in chunks.semantic_chunks(c).collect()}
+    assert ("a.py", "symbol", "a.py f") in got and ("d.md", "doc_heading", "d.md T") in got and ("e.py", "path", "e.py e .py") in got and len(got) == 8
+    p = {(r.name, r.line_start, r.line_end) for r in chunks.symbol_pieces(c.filter("root_id is not null")).collect()}
+    assert p == {("f", 2, 6), ("g", 7, 9)}
+    s = spark.createDataFrame([("f", 1, 5, 3.0), ("f", 9, 9, 2.0), ("f", 20, 30, 1.0), ("q", 1, 1, 1.0)], "file string, line_start int, line_end int, score double")
+    assert {(r.file, r.line_start) for r in chunks.best_ranges(s, "file", "score").collect()} == {("f", 1), ("f", 9), ("q", 1)}
