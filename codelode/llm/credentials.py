@@ -407,7 +407,6 @@ def _texts(files: DataFrame, contents: DataFrame, chunks: DataFrame) -> DataFram
         .unionByName(part(files, "content_hint", "file_id", "content_hint"))
         .unionByName(part(contents, "content", "file_id", "content"))
         .unionByName(part(chunks, "chunk_text_preview", "chunk_id", "chunk_text_preview"))
-        .filter(F.length("text") > 0)
     )
 
 
@@ -431,16 +430,26 @@ def label(texts: DataFrame) -> DataFrame:
 
 def found(files: DataFrame, contents: DataFrame, chunks: DataFrame) -> DataFrame:
     """(origin, record_id, line_no): each line in which a credential begins, once."""
-    return label(_texts(files, contents, chunks)).filter("begins").select("origin", "record_id", "line_no").distinct()
+    return label(_texts(files, contents, chunks).filter(F.length("text") > 0)).filter("begins").select("origin", "record_id", "line_no").distinct()
+
+
+def redacted_texts(files: DataFrame, contents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(origin, record_id, text, spans): each text of the four origins with only the credentials replaced; null and empty texts stay as they are."""
+    return _redacted(_texts(files, contents, chunks))
 
 
 def redacted(contents: DataFrame) -> DataFrame:
-    """(file_id, content, spans): each text of ``contents`` with only the credentials replaced."""
+    """(file_id, content, spans): the same for the texts of ``contents`` alone."""
+    texts = contents.select(F.lit("content").alias("origin"), F.col("file_id").alias("record_id"), F.col("content").alias("text"))
+    return _redacted(texts).select(F.col("record_id").alias("file_id"), F.col("text").alias("content"), "spans")
+
+
+def _redacted(texts: DataFrame) -> DataFrame:
     crf = model()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [spans(t, crf) if t else [] for t in b["content"]]
-            yield pd.DataFrame({"file_id": b["file_id"], "content": [redact(t, g) if t else t for t, g in zip(b["content"], got)], "spans": [len(g) for g in got]})
+            got = [spans(t, crf) if t else [] for t in b["text"]]
+            yield pd.DataFrame({"origin": b["origin"], "record_id": b["record_id"], "text": [redact(t, g) if t else t for t, g in zip(b["text"], got)], "spans": [len(g) for g in got]})
 
-    return contents.select("file_id", "content").distinct().mapInPandas(work, "file_id string, content string, spans int")
+    return texts.distinct().mapInPandas(work, "origin string, record_id string, text string, spans int")

@@ -21,7 +21,7 @@ def p1_found(spark, sf_dir):
 
 
 def p1_redacted(spark, sf_dir):
-    return credentials.redacted(table(spark, sf_dir, "contents"))
+    return credentials.redacted_texts(*(table(spark, sf_dir, t) for t in ("files", "contents", "semantic_chunks")))
 
 
 def p2_found(spark, sf_dir):

@@ -54,6 +54,21 @@ def test_credential_rows(spark):
     assert {r.file_id: r.spans for r in C.redacted(contents).collect()} == {"f1": 1, "f3": 0, "f4": 0}
 
 
+def test_redaction_of_all_origins(spark, tmp_path):
+    from codelode.llm import queries
+
+    secret, path = "Tamkor#4821x", "src/app/load_ghp_" + "a1B2c3D4" * 4 + "e5F6.py"
+    at = str(tmp_path)
+    spark.createDataFrame([("f1", path, f'a = 1\npassword = "{secret}"'), ("f2", "b.py", None)], "file_id string, rel_path string, content_hint string").write.parquet(f"{at}/files.parquet")
+    spark.createDataFrame([("f1", f'password = "{secret}"\n'), ("f3", ""), ("f4", None)], "file_id string, content string").write.parquet(f"{at}/contents.parquet")
+    spark.createDataFrame([("c1", f'a = 1 password = "{secret}"'), ("c1", f'a = 1 password = "{secret}"'), ("c2", "plain")], "chunk_id string, chunk_text_preview string").write.parquet(f"{at}/semantic_chunks.parquet")
+    got = {(r.origin, r.record_id): (r.text, r.spans) for r in queries.p1_redacted(spark, at).collect()}
+    assert got == {
+        ("rel_path", "f1"): ("src/app/load_REDACTED.py", 1), ("rel_path", "f2"): ("b.py", 0), ("content_hint", "f1"): ('a = 1\npassword = "REDACTED"', 1), ("content_hint", "f2"): (None, 0),
+        ("content", "f1"): ('password = "REDACTED"\n', 1), ("content", "f3"): ("", 0), ("content", "f4"): (None, 0), ("chunk_text_preview", "c1"): ('a = 1 password = "REDACTED"', 1), ("chunk_text_preview", "c2"): ("plain", 0),
+    }
+
+
 # ---------------------------------------------------------------- p2
 
 
