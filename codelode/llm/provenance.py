@@ -80,14 +80,24 @@ def path_words(path: str) -> list[str]:
     return [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", path) if len(w) > 2]
 
 
+def own_part(path: str) -> str:
+    """A path up to and with its first folder for copies."""
+    m = _COPY_FOLDER.search(path)
+    return path[: m.start(1)] if m else path
+
+
 def _counts(contents: DataFrame) -> DataFrame:
-    """(language, gram, n): trigrams of each file's distinct names, and of its path's words under language ``path``."""
+    """(language, gram, n): trigrams of each file's distinct names, and of its path's words under language ``path``.
+
+    What lies below a folder for copies is left out of the path model, so that no
+    copied project, however many rows it has, teaches the model its own name.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for b in batches:
             for path, text in zip(b["rel_path"], b["content"]):
-                for lang, words in ((language_of(path), set(names(text))), ("path", set(path_words(path)))):
+                for lang, words in ((language_of(path), set(names(text))), ("path", set(path_words(own_part(path))))):
                     for w in words:
                         f = fold(w)
                         for i in range(len(f) - 2):

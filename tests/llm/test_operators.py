@@ -154,6 +154,15 @@ def test_pieces_cut_at_topic():
     assert cut == len(a)
 
 
+def test_a_large_vendored_library_stays_foreign(spark):
+    words = ["load", "window", "cursor", "report", "parse", "index", "batch", "route", "filter", "merge"]
+    hand = [(f"h{i}", "r0", f"src/{words[i % 10]}/{words[i * 7 % 10]}_{words[i * 3 % 10]}.py", f"x_{i} = 1\n") for i in range(60)]
+    lib = [(f"v{i}", "r1", f"vendor/deldellib/deldellib_{i}.py", f"y_{i} = 1\n") for i in range(30)]
+    own = [("e", "r2", "vendor/window/load_report.py", "z = 1\n")]
+    df = spark.createDataFrame(hand + lib + own, "file_id string, root_id string, rel_path string, content string")
+    assert {(r.file_id, r.reason) for r in provenance.not_handwritten(df).collect()} == {(v[0], "vendored") for v in lib}
+
+
 # ---------------------------------------------------------------- p7
 
 
