@@ -6,8 +6,10 @@ texts, and one of the words of paths on all paths. A file is then measured:
 * *mangled*: its names cost far more bits a character than hand-written ones do;
 * *template*: its names, or its lines with literals folded, are of few kinds -
   data kept as code, dumps, locks, compiler output; or a comment says what tool wrote it;
+  Kinds of names are counted over ``WINDOW`` names at a time, as in longer files names return more often;
 * *foreign*: it carries another project's notice, or names foreign to the path
-  model in a folder for copies, or its body lies in several roots.
+  model in a folder for copies, or its body lies in several roots, or its names, in whatever
+  language, are foreign both to the language's model and to that of the root's other files.
 
 The models are tables of at most ``ALPHABET`` ** 3 counts a language, so their
 size does not grow with the data; the counts cover all rows.
@@ -28,6 +30,13 @@ from pyspark.sql import functions as F
 ALPHABET = 32
 #: Bits a character above which names are mangled; share of short names needed besides.
 MANGLED_BITS, SHORT_SHARE = 3.2, 0.35
+#: Distinct names from which a file's cross-entropy is judged in every language, and bits above which it is foreign
+#: to the root besides (sf0.1: at most 3.4 in hand-written files, at least 3.5 in minified ones); least trigrams of a root's model.
+STRANGE_NAMES, ROOT_BITS, ROOT_GRAMS = 30, 3.6, 2000
+#: Names of a window, and the share of distinct ones under which a file is a template (sf0.1: hand-written ones have 0.23 and more, dumps 0.04).
+WINDOW, LOW_DIVERSITY = 100, 0.12
+#: Buckets of roots and parts a root's strange files are split into.
+ROOT_BUCKETS, PARTS = 65_536, 16
 #: Bits a character above which a path word is foreign.
 FOREIGN_BITS = 2.6
 #: Least non-space characters of a data block, and the largest share of them in names.
@@ -124,6 +133,17 @@ class Trigrams:
         return sum(self.bits.get(f[i : i + 3]) or self.rest.get(f[i : i + 2], self.none) for i in range(len(f) - 2)) / (len(f) - 2)
 
 
+def diversity(found: list[str]) -> float:
+    """Mean share of distinct names in the windows of ``WINDOW`` names, half of it apart; 1 for shorter files, where it says nothing."""
+    shares = [len(set(found[i : i + WINDOW])) / WINDOW for i in range(0, len(found) - WINDOW + 1, WINDOW // 2)]
+    return sum(shares) / len(shares) if shares else 1.0
+
+
+def is_strange(distinct: set[str], bits: float) -> bool:
+    """Whether a file's names are foreign to its language; files of few names say nothing."""
+    return len(distinct) >= STRANGE_NAMES and bits > MANGLED_BITS
+
+
 def train(contents: DataFrame) -> dict[str, Trigrams]:
     """The models of all languages of ``contents``; what comes to the driver is bounded by the alphabet."""
     tables: dict[str, dict[str, int]] = {}
@@ -141,6 +161,7 @@ def measure(path: str, text: str, models: dict[str, Trigrams]) -> dict:
     solid = sum(map(len, text.split()))
     bits = sum(own.cost(n) for n in distinct) / len(distinct) if own and distinct else 0.0
     short = sum(len(n) <= 2 for n in found) / len(found) if found else 0.0
+    variety = diversity(found)
     share = sum(map(len, found)) / solid if solid else 1.0
     lines = [ln for ln in text.splitlines() if ln.strip()]
     longest = max(map(len, lines), default=0)
@@ -172,7 +193,10 @@ def measure(path: str, text: str, models: dict[str, Trigrams]) -> dict:
         reason = "data"
     elif lang in _CODE and len(lines) >= DUMP_LINES and form_share < FORM_SHARE:
         reason = "data"
-    return {"bits": bits, "short": short, "name_share": share, "form_share": form_share, "serial": serial, "foreign_bits": foreign, "longest": longest, "reason": reason}
+    elif lang in _CODE and variety < LOW_DIVERSITY:
+        reason = "generated"
+    strange = " ".join(sorted(distinct)) if reason is None and lang in _CODE and is_strange(distinct, bits) else None
+    return {"strange": strange, "diversity": variety, "bits": bits, "short": short, "name_share": share, "form_share": form_share, "serial": serial, "foreign_bits": foreign, "longest": longest, "reason": reason}
 
 
 def body(text: str) -> str:
@@ -184,19 +208,24 @@ def body(text: str) -> str:
     return "".join("".join(lines[i:]).split())
 
 
-_MEASURES = "bits double, short double, name_share double, form_share double, serial double, foreign_bits double, longest int, reason string"
+_MEASURES = "strange string, diversity double, bits double, short double, name_share double, form_share double, serial double, foreign_bits double, longest int, reason string"
 
 
-def provenance(contents: DataFrame) -> DataFrame:
+def _rows(contents: DataFrame) -> DataFrame:
+    return contents.select("file_id", "root_id", "rel_path", "content").filter(F.col("content").isNotNull() & F.col("rel_path").isNotNull())
+
+
+def provenance(contents: DataFrame, models: dict[str, Trigrams] | None = None) -> DataFrame:
     """(file_id, root_id, rel_path, measures, reason) of each row of ``contents``.
 
     ``reason`` is null for hand-written files, else generated, vendored, source
-    map, lock, minified, compiled or data. A body of code that lies in more than
-    one root under different paths is vendored, whatever its names. Rows with a null
+    map, lock, minified, compiled or data; ``not_handwritten`` adds foreign. A body of code that lies in more than
+    one root under different paths is vendored, whatever its names. ``strange`` has the distinct names
+    of a file without a reason whose names are foreign to its language, for ``foreign_to_root``. Rows with a null
     path or text have no result; empty texts are hand-written.
     """
-    rows = contents.select("file_id", "root_id", "rel_path", "content").filter(F.col("content").isNotNull() & F.col("rel_path").isNotNull())
-    models = train(rows)
+    rows = _rows(contents)
+    models = models or train(rows)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -221,11 +250,70 @@ def copies(files: DataFrame) -> DataFrame:
     )
 
 
+def _bucket():
+    return F.pmod(F.xxhash64("root_id"), F.lit(ROOT_BUCKETS)).cast("int")
+
+
+def _root_counts(contents: DataFrame, models: dict[str, Trigrams], buckets: frozenset) -> DataFrame:
+    """(root_id, gram, n): trigrams of the names of the code files of the roots in ``buckets``; strange files are left out, so that
+    they do not teach a root their own names."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+
+        def flush():
+            return pd.DataFrame([(r, g, n) for (r, g), n in total.items()], columns=["root_id", "gram", "n"])
+
+        for b in batches:
+            for root, path, text, bucket in zip(b["root_id"], b["rel_path"], b["content"], b["bucket"]):
+                lang = language_of(path)
+                if bucket not in buckets or lang not in _CODE or lang not in models:
+                    continue
+                words = set(names(text))
+                if words and is_strange(words, sum(map(models[lang].cost, words)) / len(words)):
+                    continue
+                for w in words:
+                    f = fold(w)
+                    for i in range(len(f) - 2):
+                        total[root, f[i : i + 3]] += 1
+            if len(total) > 200_000:
+                yield flush()
+                total.clear()
+        yield flush()
+
+    rows = contents.filter(F.col("root_id").isNotNull()).select("root_id", "rel_path", "content", _bucket().alias("bucket"))
+    return rows.mapInPandas(work, "root_id string, gram string, n bigint").groupBy("root_id", "gram").agg(F.sum("n").alias("n"))
+
+
+def _judge(key, files: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+    ids = []
+    if len(files) and int(grams["n"].sum()) >= ROOT_GRAMS:
+        model = Trigrams(dict(zip(grams["gram"], grams["n"])))
+        for fid, words in zip(files["file_id"], files["strange"].str.split(" ")):
+            if sum(map(model.cost, words)) / len(words) > ROOT_BITS:
+                ids.append(fid)
+    return pd.DataFrame({"file_id": pd.Series(ids, dtype="object")})
+
+
+def foreign_to_root(files: DataFrame, contents: DataFrame, models: dict[str, Trigrams]) -> DataFrame:
+    """(file_id): strange files of ``files`` whose names are foreign to the other files of their root as well. Roots of few
+    names have no say. A root's files are judged in ``PARTS`` parts; only numbers of buckets come to the driver."""
+    strange = files.filter(F.col("strange").isNotNull() & F.col("root_id").isNotNull())
+    buckets = frozenset(r.bucket for r in strange.select(_bucket().alias("bucket")).distinct().collect())
+    if not buckets:
+        return files.select("file_id").limit(0)
+    grams = _root_counts(_rows(contents), models, buckets).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    own = strange.select("root_id", F.pmod(F.xxhash64("file_id"), F.lit(PARTS)).cast("int").alias("part"), "file_id", "strange")
+    return own.groupBy("root_id", "part").cogroup(grams.groupBy("root_id", "part")).applyInPandas(_judge, "file_id string")
+
+
 def not_handwritten(contents: DataFrame) -> DataFrame:
     """(file_id, reason) of the files that were not written by hand there, one row for each file and reason."""
     from codelode.session import cut
 
-    files = cut(provenance(contents).select("file_id", "root_id", "body", "reason"))
+    models = train(_rows(contents))
+    files = cut(provenance(contents, models).select("file_id", "root_id", "body", "reason", "strange"))
     marked = files.filter(F.col("reason").isNotNull()).select("file_id", "reason")
     copied = files.filter(F.col("reason").isNull()).join(copies(files), "body").select("file_id", F.lit("vendored").alias("reason"))
-    return marked.unionByName(copied).distinct()
+    foreign = foreign_to_root(files, contents, models).select("file_id", F.lit("foreign").alias("reason"))
+    return marked.unionByName(copied).unionByName(foreign).distinct()

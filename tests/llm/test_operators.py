@@ -163,6 +163,26 @@ def test_a_large_vendored_library_stays_foreign(spark):
     assert {(r.file_id, r.reason) for r in provenance.not_handwritten(df).collect()} == {(v[0], "vendored") for v in lib}
 
 
+def test_names_decide_in_every_language(spark):
+    r = random.Random(4)
+    words = ["load", "window", "cursor", "report", "parse", "index", "batch", "route", "filter", "merge", "limit", "header"]
+
+    def hand(i):
+        names = ["_".join(r.sample(words, 2)) for _ in range(30)]
+        return "".join(f"def {n}_{i}({r.choice(words)}):\n    return {r.choice(names)}({r.choice(words)}) + {r.choice(words)}\n" for n in names)
+
+    def odd(k):
+        return ["".join(r.choice("qxzjkvwy") for _ in range(7)) for _ in range(k)]
+
+    ops = ["put", "get", "row", "col"]
+    template = "".join(" ".join(f"{r.choice(ops)}({r.choice(ops)}," for _ in range(r.randint(1, 9))) + "\n" for _ in range(80))
+    foreign = "".join(f"def {a}({b}):\n    return {a}[{b}]\n" for a, b in zip(odd(30), odd(30)))
+    rows = [(f"h{i}", f"r{i % 2}", f"src/load_{i}.py", hand(i)) for i in range(80)]
+    rows += [("t", "r0", "src/put.go", template), ("f", "r1", "src/merge.py", foreign)] + [(f"g{i}", "r0", f"src/merge_{i}.go", hand(i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "file_id string, root_id string, rel_path string, content string")
+    assert {(x.file_id, x.reason) for x in provenance.not_handwritten(df).collect()} == {("t", "generated"), ("f", "foreign")}
+
+
 # ---------------------------------------------------------------- p7
 
 
