@@ -9,7 +9,7 @@ texts, and one of the words of paths on all paths. A file is then measured:
   Kinds of names are counted over ``WINDOW`` names at a time, as in longer files names return more often;
 * *foreign*: it carries another project's notice, or names foreign to the path
   model in a folder for copies, or its body lies in several roots, or its names, in whatever
-  language, are foreign both to the language's model and to that of the root's other files.
+  language, are foreign to the models of all languages and to that of the root's other files.
 
 The models are tables of at most ``ALPHABET`` ** 3 counts a language, so their
 size does not grow with the data; the counts cover all rows.
@@ -37,6 +37,8 @@ STRANGE_NAMES, ROOT_BITS, ROOT_GRAMS = 30, 3.6, 2000
 WINDOW, LOW_DIVERSITY = 100, 0.12
 #: Buckets of roots and parts a root's strange files are split into.
 ROOT_BUCKETS, PARTS = 65_536, 16
+#: First comment lines, in which a notice in any words counts.
+HEAD = 12
 #: Bits a character above which a path word is foreign.
 FOREIGN_BITS = 2.6
 #: Least non-space characters of a data block, and the largest share of them in names.
@@ -67,6 +69,12 @@ _THEIRS = re.compile(
     r"(?i)\bcopied (?:verbatim |unchanged )?from\b|\bvendored from\b|^\W*upstream\s*[:=]|\bupstream (?:revision|version|commit)\b|\bcopyright\b.{0,60}\b(?:project|authors|contributors|foundation|inc)\b|"
     r"\(c\) the \w+ (?:project|authors|contributors|team)|\breleased under the .{0,30}\b(?:terms|licen[sc]e)\b|\bredistribution and use in source\b|\bpermission is hereby granted\b|\blicensed under the (?:apache|mit|bsd|mozilla|gnu|isc)\b"
 )
+# A notice in itself, where the pattern above also takes mentions: it begins the comment and goes on as notices do.
+_NOTICE = re.compile(
+    r"(?i)^\W*(?:(?:copied (?:verbatim |unchanged )?|vendored )from\b|upstream\s*[:=]|upstream (?:revision|version|commit)\s*[:=]?\s*v?[\da-f]|(?:copyright\b|\(c\)).{0,60}\b(?:project|authors|contributors|foundation|team|inc)\b|"
+    r"released under the .{0,30}\b(?:terms|licen[sc]e)\b|redistribution and use in source\b|permission is hereby granted\b|licensed under the (?:apache|mit|bsd|mozilla|gnu|isc)\b)"
+)
+_PLAIN_BLOCK = re.compile(r"^[ \t]*(?:/\*|<!--)(.*?)(?:\*/|-->)", re.S | re.M)
 _COPY_FOLDER = re.compile(r"(?:^|/)(?:_?vendor(?:ed)?|_vendored|third[_-]?party|node_modules|bower_components|external|externals|extern|deps|Pods|Carthage|site-packages|jspm_packages|Godeps)/(.+)$")
 _LOCK_NAME = re.compile(r"(?i)(?:^|/)(?:[\w.-]*lock[\w.-]*\.(?:json|ya?ml|toml)|npm-shrinkwrap\.json|yarn\.lock|go\.sum|cargo\.lock|poetry\.lock|[\w.-]+\.lock)$")
 
@@ -139,9 +147,20 @@ def diversity(found: list[str]) -> float:
     return sum(shares) / len(shares) if shares else 1.0
 
 
-def is_strange(distinct: set[str], bits: float) -> bool:
-    """Whether a file's names are foreign to its language; files of few names say nothing."""
-    return len(distinct) >= STRANGE_NAMES and bits > MANGLED_BITS
+def is_noticed(notes: list[str], text: str) -> bool:
+    """Whether the comments hold another project's notice: in their first ``HEAD`` lines in any words, further down or
+    inside a block comment without signs of its own as a line that is a notice itself, not a mention."""
+    if any(_THEIRS.search(n) for n in notes[:HEAD]) or any(_NOTICE.search(n) for n in notes[HEAD:]):
+        return True
+    return any(_NOTICE.search(ln) for m in _PLAIN_BLOCK.finditer(text) for ln in m.group(1).splitlines())
+
+
+def is_strange(distinct: set[str], bits: float, models: dict[str, Trigrams]) -> bool:
+    """Whether a file's names are foreign to its language and to every other, prose included: a text in another language
+    than its name says, or prose outside comments, has names of that kind. Files of few names say nothing."""
+    if len(distinct) < STRANGE_NAMES or bits <= MANGLED_BITS:
+        return False
+    return all(sum(map(m.cost, distinct)) / len(distinct) > MANGLED_BITS for lang, m in models.items() if lang != "path")
 
 
 def train(contents: DataFrame) -> dict[str, Trigrams]:
@@ -171,13 +190,14 @@ def measure(path: str, text: str, models: dict[str, Trigrams]) -> dict:
     notes = [m.group(1) for m in _COMMENT.finditer(text)]
     foreign = 0.0
     if pathm and (m := _COPY_FOLDER.search(path)):
-        foreign = max((pathm.cost(w) for w in path_words(m.group(1))[:2]), default=0.0)
+        foreign = max((pathm.cost(w) for w in path_words(m.group(1))), default=0.0)
     reason = None
-    if path.lower().endswith(_PROSE):
+    prose = path.lower().endswith(_PROSE)
+    if prose:
         notes = []
     if any(_MADE.search(n) for n in notes):
         reason = "generated"
-    elif any(_THEIRS.search(n) for n in notes[:12]):
+    elif not prose and is_noticed(notes, text):
         reason = "vendored"
     elif foreign > FOREIGN_BITS:
         reason = "vendored"
@@ -195,7 +215,7 @@ def measure(path: str, text: str, models: dict[str, Trigrams]) -> dict:
         reason = "data"
     elif lang in _CODE and variety < LOW_DIVERSITY:
         reason = "generated"
-    strange = " ".join(sorted(distinct)) if reason is None and lang in _CODE and is_strange(distinct, bits) else None
+    strange = " ".join(sorted(distinct)) if reason is None and lang in _CODE and is_strange(distinct, bits, models) else None
     return {"strange": strange, "diversity": variety, "bits": bits, "short": short, "name_share": share, "form_share": form_share, "serial": serial, "foreign_bits": foreign, "longest": longest, "reason": reason}
 
 
@@ -270,7 +290,7 @@ def _root_counts(contents: DataFrame, models: dict[str, Trigrams], buckets: froz
                 if bucket not in buckets or lang not in _CODE or lang not in models:
                     continue
                 words = set(names(text))
-                if words and is_strange(words, sum(map(models[lang].cost, words)) / len(words)):
+                if words and is_strange(words, sum(map(models[lang].cost, words)) / len(words), models):
                     continue
                 for w in words:
                     f = fold(w)

@@ -183,6 +183,21 @@ def test_names_decide_in_every_language(spark):
     assert {(x.file_id, x.reason) for x in provenance.not_handwritten(df).collect()} == {("t", "generated"), ("f", "foreign")}
 
 
+def test_late_notices_and_deep_libraries():
+    models = {"path": provenance.Trigrams({g: 9 for w in ("github", "com", "owner", "load", "window", "src", "vendor") for g in (provenance.fold(w)[i : i + 3] for i in range(len(w) + 1))})}
+    head = "".join(f"# {'ab' * i}c is told in this line\n" for i in range(30))
+
+    def reason(path, text):
+        return provenance.measure(path, text, models)["reason"]
+
+    assert reason("src/load.py", head + "x = 1\n# Copyright 2019 The Quil Project\n") == "vendored"
+    assert reason("src/load.go", head.replace("#", "//") + "package x\n// Permission is hereby granted, free of charge\n") == "vendored"
+    assert reason("src/load.go", "package x\n\n/*\nCopyright 2019 The Quil Authors\n*/\n") == "vendored"
+    assert reason("src/load.py", head + "x = 1\n# rows whose text says copyright of some project are left out\n") is None
+    assert reason("vendor/github.com/owner/quzzwyx/src/load.py", "x = 1\n") == "vendored"
+    assert reason("vendor/github.com/owner/window/src/load.py", "x = 1\n") is None
+
+
 # ---------------------------------------------------------------- p7
 
 
