@@ -1,11 +1,11 @@
 """Problem 7: tasks of evaluation splits that also stand in the training split.
 
-Passages of the normalised evaluation tasks (runs of ``PASSAGE`` words, or the
-whole of a shorter one) form Aho-Corasick automata, sharded by gold path and
-bounded in size; every training task is scanned by the automata of its own gold paths.
-Matched intervals are merged into the share of the evaluation task they
-cover; where it suffices, a word-by-word comparison decides whether both ask for the
-same change.
+Three disjoint passages of each normalised task, so that one survives two slips, form
+Aho-Corasick automata, sharded by gold path and bounded in size. Every training task is
+scanned by the automata of the evaluation tasks of its own gold paths, and every evaluation
+task by those of the training tasks, as either may be the shorter one. A passage found at its
+place makes a candidate; a word-by-word comparison decides whether both ask for the
+same change, and the matched intervals are merged into the share of the evaluation task they cover.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a passage; least covered share of the shorter task that is compared.
-PASSAGE, COVERED = 5, 0.25
+#: Signs by which two slips can move a passage.
+SHIFT = 2
 #: Rows of evaluation and of training tasks in one group, as far as paths can be told apart or split.
 EVAL_ROWS, TRAIN_ROWS = 3000, 20_000
 #: Share of tasks a word must stand in to be taken as spelled right; so at most (words a task / share) words are.
@@ -142,44 +142,86 @@ def _prepared(tasks: DataFrame) -> DataFrame:
     return rows.mapInPandas(work, "task_key bigint, held boolean, words string, cut boolean, gold array<string>, path string").dropDuplicates(["task_key", "words", "path"])
 
 
+def passages(words: list[str]) -> list[tuple[int, str]]:
+    """(offset, passage) over the words run together, so that a word written as two is no difference.
+
+    A task that ``same_change`` accepts as the shorter or equal side keeps at least one of them within two signs of its
+    place: two slips spoil two of three groups of words, or, as a swap can lie on a border, four of five pieces of a
+    text of under three words. A last word that may be the start of one that says nothing is tried without, too.
+    """
+    out = set()
+    for n in {len(words), len(words) - 1 if any(e.startswith(words[-1]) for e in _EMPTY) else len(words)} - {0}:
+        if n > 2:
+            parts = ["".join(words[n * k // 3 : n * (k + 1) // 3]) for k in range(3)]
+        else:
+            text = "".join(words[:n])
+            k = min(5, len(text))
+            parts = [text[len(text) * i // k : len(text) * (i + 1) // k] for i in range(k)]
+        at = 0
+        for part in parts:
+            out.add((at, part))
+            at += len(part)
+    return sorted(out)
+
+
+def _machine(lists: list[list[str]], paths: list[str]):
+    """An automaton over the passages of all tasks; each has, by path and offset, the tasks it belongs to."""
+    import ahocorasick
+
+    where: dict[str, dict] = {}
+    for n, (words, path) in enumerate(zip(lists, paths)):
+        for at, part in passages(words):
+            where.setdefault(part, {}).setdefault((path, at), []).append(n)
+    machine = ahocorasick.Automaton()
+    for part, tasks in where.items():
+        machine.add_word(part, (len(part), tasks))
+    machine.make_automaton()
+    return machine
+
+
+def _hits(machine, text: str, path: str):
+    """(task, offset here, offset there, length) of the passages that stand in a text within two signs of their place."""
+    for end, (size, tasks) in machine.iter(text):
+        here = end - size + 1
+        for at in range(max(0, here - SHIFT), here + SHIFT + 1):
+            for n in tasks.get((path, at), ()):
+                yield n, here, at, size
+
+
 def _scan(known: frozenset):
     def work(key, held: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        import ahocorasick
-
         held, train = held.rename(columns=lambda c: c[2:]), train.rename(columns=lambda c: c[2:])
         none = pd.DataFrame({"task_key_a": pd.Series(dtype="int64"), "task_key_b": pd.Series(dtype="int64"), "covered": pd.Series(dtype="float64")})
         if held.empty or train.empty:
             return none
-        machine = ahocorasick.Automaton()
-        lists = [w.split() for w in held["words"]]
-        where: dict[str, list] = {}
-        for n, (words, path) in enumerate(zip(lists, held["path"])):
-            size = min(PASSAGE, len(words))
-            for i in range(len(words) - size + 1):
-                where.setdefault(" " + " ".join(words[i : i + size]) + " ", []).append((n, i, size))
-        for passage, at in where.items():
-            machine.add_word(passage, at)
-        machine.make_automaton()
-        by_path: dict[str, set] = {}
-        for n, path in enumerate(held["path"]):
-            by_path.setdefault(path, set()).add(n)
-        keys, cuts = held["task_key"].tolist(), held["cut"].tolist()
+        # Equal words on one path are compared once; both directions, as either side may be the shorter one.
+        sides = []
+        for rows in (held, train):
+            alike: dict[tuple, list[int]] = {}
+            for tkey, words, cut, path in zip(rows["task_key"], rows["words"], rows["cut"], rows["path"]):
+                alike.setdefault((words, bool(cut), path), []).append(int(tkey))
+            sides.append(([k[0].split() for k in alike], [k[1] for k in alike], [k[2] for k in alike], list(alike.values())))
+        (e_words, e_cut, e_path, e_keys), (t_words, t_cut, t_path, t_keys) = sides
+        covered: dict[tuple[int, int], list] = {}
+        for forth in (True, False):
+            near, far = ((e_words, e_path), (t_words, t_path)) if forth else ((t_words, t_path), (e_words, e_path))
+            machine = _machine(*near)
+            for m, (words, path) in enumerate(zip(*far)):
+                found: dict[int, list] = {}
+                for n, here, there, size in _hits(machine, "".join(words), path):
+                    x = there if forth else here
+                    found.setdefault(n, []).append((x, x + size))
+                for n, parts in found.items():
+                    e, t = (n, m) if forth else (m, n)
+                    if (e, t) in covered or same_change(e_words[e], t_words[t], e_cut[e] or t_cut[t], known):
+                        covered.setdefault((e, t), []).extend(parts)
         out = {}
-        for tkey, text, cut, path in zip(train["task_key"], train["words"], train["cut"], train["path"]):
-            own = by_path.get(path)
-            if not own:
-                continue
-            hits: dict[int, set] = {}
-            for _, at in machine.iter(f" {text} "):
-                for n, i, size in at:
-                    if n in own:
-                        hits.setdefault(n, set()).update(range(i, i + size))
-            words = text.split()
-            for n, covered in hits.items():
-                share = len(covered) / min(len(lists[n]), len(words))
-                if share >= COVERED and same_change(lists[n], words, bool(cut or cuts[n]), known):
-                    a, b = sorted((int(tkey), int(keys[n])))
-                    out[a, b] = max(out.get((a, b), 0.0), len(covered) / len(lists[n]))
+        for (e, t), parts in covered.items():
+            share = len(set().union(*(range(x, y) for x, y in parts))) / len("".join(e_words[e]))
+            for x in e_keys[e]:
+                for y in t_keys[t]:
+                    pair = (min(x, y), max(x, y))
+                    out[pair] = max(out.get(pair, 0.0), share)
         if not out:
             return none
         return pd.DataFrame([(a, b, c) for (a, b), c in out.items()], columns=["task_key_a", "task_key_b", "covered"])
@@ -190,7 +232,7 @@ def _scan(known: frozenset):
 def overlaps(tasks: DataFrame) -> DataFrame:
     """(task_key_a, task_key_b, covered): pairs of a training task and one of another split that ask for the same
     change and share a gold path; a < b. ``covered`` is the share of the evaluation
-    task's words inside matched passages.
+    task's signs, spaces apart, inside matched passages.
 
     Tasks without words or gold paths have no pair; repeated rows count once. A path with
     many tasks is split: its evaluation tasks into chunks with an automaton each, its

@@ -214,6 +214,41 @@ def test_overlaps(spark):
     assert rep == {"holdout": (5, 2), "holdout2": (1, 0), "holdout3": (1, 1)}
 
 
+def test_slips_cuts_and_short_tasks_are_met(spark):
+    known, long = frozenset(), "fix crash loading window rows with forty columns in archive parser view"
+    near = [  # train, evaluation
+        ("rename cursor field before wondow opens twice", "rename cursor field before window opens twice"), ("rename cursor field before report closes wihtout error", "rename cursor field before report closes without error"),
+        (long.replace("window", "windwo").replace("archive", "archve"), long), ("split reprot header into columns", "split report header into columns"), ("merge batch index…", "merge batch index before every nightly export"),
+        ("Fxi tpyo", "Fix typo"), ("drop nul rows", "drop null rows"), ("add headerfilter to export", "add header filter to export"), ("limit queue length when par", "limit queue length when parsing archives"),
+    ]
+    far = [("split report header into rows", "split report header into columns"), ("Fix typos in docs", "Fix typo")]
+    rows = [(10 * i + j, "holdout" if j else "train", text, [f"p{i}.py"]) for i, pair in enumerate(near + far) for j, text in enumerate(pair)]
+    rows += [(10 * i + j + 5, "train" if j else "holdout", text, [f"q{i}.py"]) for i, pair in enumerate(near + far) for j, text in enumerate(pair)]
+    df = spark.createDataFrame(rows, "task_key bigint, split_name string, task string, gold array<string>")
+    words = [[overlap.normal_words(t) for t in pair] for pair in near + far]
+    assert [overlap.same_change(a, b, c or d, known) for (a, c), (b, d) in words] == [True] * len(near) + [False] * len(far)
+    assert {(r.task_key_a, r.task_key_b) for r in overlap.overlaps(df).collect()} == {(10 * i + k, 10 * i + k + 1) for i in range(len(near)) for k in (0, 5)}
+
+
+def test_passages_meet_all_accepted_pairs():
+    r = random.Random(3)
+    alone = lambda words, other: any(p in "".join(other)[max(0, at - 2) : at + len(p) + 2] for at, p in overlap.passages(words))
+
+    def slip(w):
+        i, k = r.randrange(len(w) - 1), r.randrange(4)
+        return [w[:i] + w[i + 1 :], w[:i] + "q" + w[i:], w[:i] + "q" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]][k]
+
+    for _ in range(3000):
+        a = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 6))) for _ in range(r.randint(1, 12))]
+        b = list(a)
+        for i in r.sample(range(len(b)), min(len(b), r.randint(0, 2))):
+            b[i] = slip(b[i])
+        if r.random() < 0.4 and len(b) > 5:
+            b = b[: r.randint(5, len(b))]
+        if overlap.same_change(a, b, False, frozenset()):
+            assert alone(a, b) or alone(b, a)
+
+
 def test_hot_path_is_split(spark, monkeypatch):
     monkeypatch.setattr(overlap, "EVAL_ROWS", 7)
     monkeypatch.setattr(overlap, "TRAIN_ROWS", 5)
