@@ -6,7 +6,7 @@ credential put together from pieces), from their shape and from the words and si
 around them. The Viterbi spans are what is redacted, character for character; a
 private key's block is redacted from the marked first line to its last.
 
-The field is trained here on lines made from templates: ``TRAIN_LINES`` of them
+The field is trained here on lines made from templates: ``TRAIN_LINES`` of them and ``KEYED_LINES`` of plain literals after a key,
 with a fixed seed, so every run and every machine has the same model.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from codelode.llm.crf import Crf, slot
 
 #: Made lines the model is trained on, and their seed.
-TRAIN_LINES, SEED = 9000, 11
+TRAIN_LINES, KEYED_LINES, SEED = 9000, 3000, 11
 MARK = "REDACTED"
 O, B, I = 0, 1, 2  # noqa: E741
 
@@ -85,8 +85,16 @@ def shape(s: str) -> str:
         return "uuid"
     if re.fullmatch(r"[*xX.•#-]{4,}", s):
         return "mask"
+    if re.fullmatch(r"\d{4,}", s):
+        return "digits"
+    if re.fullmatch(r"\$\w+|\$?\{{1,2}[^{}]*\}{1,2}|%\w+%|<[^<>]*>|\[[^\[\]]*\]|\$\([^()]*\)|[\w.]+[(\[][^()\[\]]*[)\]]", s):
+        return "ref"
+    if re.match(r"vault:|\w+:(?:kv|secret)/", s):
+        return "store"
     if _PLACE.search(s):
         return "place"
+    if re.search(r"\s", s):
+        return "phrase" if re.fullmatch(r"[a-z]+(?: [a-z]+){2,}", s) else "text"
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
         return f"hex{len(s)}" if len(s) in (32, 40, 48, 56, 64, 128) else f"hex~{min(len(s) // 8, 6)}"
     if re.fullmatch(r"0x[0-9a-fA-F]+|v?\d+(?:\.\d+)+\w*|\d+[a-z]{0,2}", s):
@@ -151,7 +159,30 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
             continue
         out.append((a, b, how))
         last = b
-    return out
+    return _keyed(text, out)
+
+
+# A literal in quotes right after a key, whatever its signs; or one of digits alone.
+_KEYED_LITERAL = re.compile(
+    r"(?P<name>[A-Za-z][\w-]*)(?P<kq>[\"'`]?)\s*(?:\]\s*)?(?::=|=>|=(?!=)|:)\s*(?:(?P<q>[\"'`])(?P<in>(?:(?!(?P=q))[^\\\n]|\\.){4,100})(?P=q)|(?P<bare>\d{4,16})(?=\s|$|[;,\"'`]))"
+)
+
+
+def _keyed(text: str, toks: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The tokens with the whole literal of each key of class secret or token; pieces found inside one give way to it."""
+    more = []
+    for m in _KEYED_LITERAL.finditer(text):
+        if name_class(m.group("name")) not in ("secret", "token"):
+            continue
+        a, b = m.span("in") if m.group("in") is not None else m.span("bare")
+        inside = [t for t in toks if t[0] < b and a < t[1]]
+        if any(x <= a and b <= y or x < a or b < y or how in ("form", "block", "url") for x, y, how in inside):
+            continue
+        more.append((a, b, "keyed"))
+    if not more:
+        return toks
+    kept = [t for t in toks if not any(a <= t[0] and t[1] <= b for a, b, _ in more)]
+    return sorted(kept + more)
 
 
 _FORM = re.compile(rf"(?<![A-Za-z0-9])(?:{TOKEN_FORMS})")
@@ -353,11 +384,42 @@ def _training(n: int, seed: int):
     return made
 
 
+def _training_keyed(n: int, seed: int):
+    """(text, credential spans) of literals right after a key whose signs say little: words, digits, phrases and odd signs."""
+    r = random.Random(seed)
+    nouns = ["horse", "battery", "staple", "river", "copper", "winter", "garden", "silver", "monkey", "dragon", "summer", "coffee", "rocket", "purple", "tiger", "castle", "orange", "thunder", "pickle", "anchor"]
+    names = ["password", "db_password", "DB_PASSWORD", "passwd", "adminPassword", "pwd", "passphrase", "secret", "clientSecret", "client_secret", "smtp_pass", "kennwort", "api_key", "apiKey", "authToken", "webhook_secret", "signing_key"]
+    ways = ['{n} = "{v}"', "{n} = '{v}'", "const {n} = '{v}';", '  "{n}": "{v}",', "  {n}: '{v}'", '{n}: "{v}"', '{n} := "{v}"', '    String {n} = "{v}";', "connect(host, {n}='{v}')", '{n}="{v}"']
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    odd = lambda: "".join(r.choice(nouns)[: r.randint(2, 4)] + r.choice(";:,<>{}()[]=!?&|") + r.choice(["", digits(2)]) for _ in range(r.randint(2, 4)))
+    good = [lambda: "".join(r.sample(nouns, 2)), lambda: "".join(r.sample(nouns, 2)), lambda: digits(r.randint(4, 12)), lambda: " ".join(r.sample(nouns, r.randint(3, 5))), odd, lambda: r.choice(nouns).title() + " " + r.choice(nouns) + digits(2) + r.choice("!;:,")]
+    refs = ["string", "password", "required", "hidden", "basic", "bearer", "none", "null", "true", "default", "optional", "text", "admin-secret", "db_password", "settings.password", "process.env.SECRET", "input[name=password]", "#password", "Enter your password",
+            "Password", "Your password", "password must not be empty", "The password is too short", "Please enter the password.", "Passwort eingeben", "wrong password for %s", "a secret of the store", "read from the store", "see the vault", "{{ password }}", "${PASS}", "<your password>",
+            "<password>", "{password}", "%s:%s", "Missing token: %s", "no token, no access", "utf-8", "sha256", "form-control", "/run/keys/db", "auth/login", "token", "login", "******** ********", "changeme", "(none)", "[hidden]", "<hidden>", "{}", "[...]", "os.environ['PASS']", "getenv(PASS)"]
+    made = []
+    while len(made) < n:
+        name, k = r.choice(names), r.random()
+        if k < 0.42:
+            v, way = r.choice(good)(), r.choice(ways)
+        elif k < 0.48:
+            v, way = digits(r.randint(4, 10)), r.choice(["{n} = {v}", "{n}={v}", "{n}: {v}", "  {n}: {v}"])
+        elif k < 0.92:
+            upper = re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).upper()
+            own = [f"${{{upper}}}", f"${{{r.choice(nouns).upper()}_{upper}}}", "${" + name + "}", "$" + upper, "{{ " + upper + " }}", f"%{upper}%", f"vault:kv/{r.choice(nouns)}#{name}", f"vault:kv/{r.choice(nouns)}#{r.choice(nouns)}_{name}", f"<your-{name}>", f"[your-{name}]", "*" * 12, "x" * 20]
+            v, way = r.choice(own if r.random() < 0.5 else refs), r.choice(ways)
+        else:
+            name, v, way = r.choice(["pw", "pass", "aw", "pwd"]), digits(4), r.choice(["var ab=12,{n}={v},c3=[1,2];", ");let lv=1558,{n}={v},q=1", "function(){{var {n}={v};return {n}}}"])
+        text = way.format(n=name, v=v)
+        at = text.index(v, text.index(name) + len(name))
+        made.append((text, [(at, at + len(v), B)] if k < 0.48 else []))
+    return made
+
+
 @lru_cache(maxsize=1)
 def model() -> Crf:
     """The trained field, made once in a process."""
     chains = []
-    for text, spans in _training(TRAIN_LINES, SEED):
+    for text, spans in [*_training(TRAIN_LINES, SEED), *_training_keyed(KEYED_LINES, SEED)]:
         toks = tokens(text)
         if not toks:
             continue

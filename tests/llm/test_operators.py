@@ -54,6 +54,14 @@ def test_credential_rows(spark):
     assert {r.file_id: r.spans for r in C.redacted(contents).collect()} == {"f1": 1, "f3": 0, "f4": 0}
 
 
+def test_plain_literals_after_a_key():
+    crf = C.model()
+    for text, value in [('password = "correcthorse"', "correcthorse"), ("db_password: '48213907'", "48213907"), ('passphrase = "purple monkey river castle"', "purple monkey river castle"), ('"client_secret": "ho;ba:42,x(y)="', "ho;ba:42,x(y)="), ("password = 482139", "482139")]:
+        assert C.redact(text, C.spans(text, crf)) == text.replace(value, C.MARK)
+    for text in ['password = "${DB_PASS}"', 'password: "string"', 'secret = "<your secret>"', "const v=12,pw=2179,p=3;"]:
+        assert not C.spans(text, crf)
+
+
 def test_redaction_of_all_origins(spark, tmp_path):
     from codelode.llm import queries
 
