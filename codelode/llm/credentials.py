@@ -7,7 +7,7 @@ around them. The Viterbi spans are what is redacted, character for character; a
 private key's block is redacted from the marked first line to its last.
 
 The field is trained here on lines made from templates: ``TRAIN_LINES`` of them and ``KEYED_LINES`` of plain literals after a key,
-with a fixed seed, so every run and every machine has the same model.
+quoted or bare, with a fixed seed, so every run and every machine has the same model.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from codelode.llm.crf import Crf, slot
 
 #: Made lines the model is trained on, and their seed.
-TRAIN_LINES, KEYED_LINES, SEED = 9000, 3000, 11
+TRAIN_LINES, KEYED_LINES, SEED = 9000, 6000, 11
 MARK = "REDACTED"
 O, B, I = 0, 1, 2  # noqa: E741
 
@@ -55,6 +55,8 @@ _OTHER = frozenset(
 )
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _NAME = re.compile(r"[A-Za-z][\w-]*")
+# Last words of names whose value is shown to people or checks an entry.
+_SHOWN = frozenset("label placeholder hint prompt title text message msg help error regex pattern rule policy class selector input form column header env var lookup provider store manager strength".split())
 _PLACE = re.compile(r"(?i)your[-_ ]|replace|change.?me|example|placeholder|dummy|<|todo|xxxx|\*{4}|\.{3}|insert|redacted|vault|kv/|secrets?/|^env")
 
 
@@ -64,7 +66,7 @@ def name_class(name: str) -> str:
     parts = [p.lower() for p in _SPLIT.findall(name)]
     if not parts:
         return "none"
-    if any(p in _OTHER for p in parts):
+    if any(p in _OTHER for p in parts) or parts[-1] in _SHOWN:
         return "other"
     if any(p in _SECRET for p in parts) or (parts[-1] == "key" and any(p in _KEYED for p in parts[:-1])):
         return "secret"
@@ -162,9 +164,9 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
     return _keyed(text, out)
 
 
-# A literal in quotes right after a key, whatever its signs; or one of digits alone.
+# A literal right after a key, whatever its signs: in quotes, or bare up to white space or the sign that ends it.
 _KEYED_LITERAL = re.compile(
-    r"(?P<name>[A-Za-z][\w-]*)(?P<kq>[\"'`]?)\s*(?:\]\s*)?(?::=|=>|=(?!=)|:)\s*(?:(?P<q>[\"'`])(?P<in>(?:(?!(?P=q))[^\\\n]|\\.){4,100})(?P=q)|(?P<bare>\d{4,16})(?=\s|$|[;,\"'`]))"
+    r"(?P<name>[A-Za-z][\w-]*)(?P<kq>[\"'`]?)\s*(?:\]\s*)?(?::=|=>|=(?![=~>])|:(?!:))[ \t]*(?:(?P<q>[\"'`])(?P<in>(?:(?!(?P=q))[^\\\n]|\\.){3,})(?P=q)|(?P<bare>[^\s\"'`;,(){}\[\]<>$|]{4,})(?=\s|$|[;,\"'`]))"
 )
 
 
@@ -174,15 +176,39 @@ def _keyed(text: str, toks: list[tuple[int, int, str]]) -> list[tuple[int, int,
     for m in _KEYED_LITERAL.finditer(text):
         if name_class(m.group("name")) not in ("secret", "token"):
             continue
-        a, b = m.span("in") if m.group("in") is not None else m.span("bare")
-        inside = [t for t in toks if t[0] < b and a < t[1]]
-        if any(x <= a and b <= y or x < a or b < y or how in ("form", "block", "url") for x, y, how in inside):
-            continue
-        more.append((a, b, "keyed"))
+        how = "keyed" if m.group("in") is not None else "kbare"
+        a, b = m.span("in") if how == "keyed" else m.span("bare")
+        more.append((a, b, how))
     if not more:
         return toks
-    kept = [t for t in toks if not any(a <= t[0] and t[1] <= b for a, b, _ in more)]
-    return sorted(kept + more)
+    out, k = [], 0
+    for a, b, how in more:  # both lists are in order, so one pass merges them
+        while k < len(toks) and toks[k][1] <= a:
+            out.append(toks[k])
+            k += 1
+        inside = []
+        while k < len(toks) and toks[k][0] < b:
+            inside.append(toks[k])
+            k += 1
+        if any(x <= a and b <= y or x < a or b < y or h in ("form", "block", "url") for x, y, h in inside) or (out and a < out[-1][1]):
+            out += inside
+        else:
+            out.append((a, b, how))
+    return out + toks[k:]
+
+
+# Endings of files whose bare values are literals, of code, where they are names, and of prose.
+_CONF = frozenset("yaml yml env ini cfg conf properties toml sh bash zsh tfvars dockerfile netrc pgpass".split())
+_CODE = frozenset("py js mjs cjs jsx ts tsx go java kt rb php rs c h cpp cs scala swift sql".split())
+_PROSE = frozenset("md rst txt adoc".split())
+
+
+@lru_cache(maxsize=10_000)
+def format_of(path: str | None) -> str:
+    """conf, code, prose, or ``-`` where the path does not tell."""
+    name = (path or "").rsplit("/", 1)[-1].lower()
+    end = name.rsplit(".", 1)[-1]
+    return "conf" if end in _CONF or name.startswith(".env") else "code" if end in _CODE else "prose" if end in _PROSE else "-"
 
 
 _FORM = re.compile(rf"(?<![A-Za-z0-9])(?:{TOKEN_FORMS})")
@@ -190,8 +216,11 @@ _JOIN = re.compile(r"[\"'`]\s*(?:\\|\+|\.|&)?\s*[\"'`]")
 _OPENER = re.compile(r"(?:[(=:|>+\\]|>-|\|-)\s*$")
 
 
-def features(text: str, toks: list[tuple[int, int, str]]) -> list[list[int]]:
-    """The feature slots of each token."""
+_SEPARATOR = re.compile(r"(\s?)(:=|=>|=|:)(\s?)[\"'`]?$")
+
+
+def features(text: str, toks: list[tuple[int, int, str]], fmt: str = "-") -> list[list[int]]:
+    """The feature slots of each token; ``fmt`` is the text's format, which tells whether bare values are literals or names."""
     out, before = [], -1
     for a, b, how in toks:
         s = text[a:b]
@@ -237,6 +266,21 @@ def features(text: str, toks: list[tuple[int, int, str]]) -> list[list[int]]:
             f"got={got}|ent={ent}", f"got={got}|len={size}", f"how={how}|got={got}", f"s={kind}|lead={lead}", f"s={kind}|how={how}", f"join={join}|got={got}",
             f"s={kind.split(':')[0]}|above={above}", f"head={text[begin:a].lstrip()[:2]}", f"got={got}|gap={gap}",
         ]
+        if how in ("keyed", "kbare") or (key in ("secret", "token") and len(s) < 12 and not how == "url"):
+            m = _SEPARATOR.search(left)
+            sep = "".join(("_" if m.group(1) else "", m.group(2), "_" if m.group(3) else "")) if m else "-"
+            name = next((n for n in reversed(names) if name_class(n) in ("secret", "token")), "")
+            case = "up" if name.isupper() else "low"
+            q = left[-1:] in "\"'`" and left[-1:] != ""
+            whole = left.strip() == "" or re.fullmatch(r"\W*(?:export\s+|set\s+|ENV\s+|-\s+)?[\w.-]+[\"'`]?\s*(?::=|=>|=|:)\s*[\"'`]?", left) is not None
+            end_ = right.strip()[:1] or "$"
+            sort = "dotted" if re.fullmatch(r"[A-Za-z_]\w*(?:\.\w+)+", s) else "snake" if re.fullmatch(r"[a-z]+(?:_[a-z]+)+|[a-z]+[A-Z]\w*", s) else "word" if s.isalpha() and s.islower() else "Word" if s.isalpha() else "num" if s.isdigit() else "mix"
+            fs += [
+                f"k:sep={sep}|q={q}", f"k:fmt={fmt}|sep={sep}|q={q}|whole={whole}", f"k:fmt={fmt}|q={q}|sort={sort}", f"k:q={q}|sep={sep}|sort={sort}|whole={whole}", f"k:case={case}|sep={sep}|sort={sort}|q={q}",
+                f"k:fmt={fmt}|sort={sort}|sep={sep}|q={q}|end={end_}", f"k:w={s.lower()}" if len(s) < 24 else "k:long", f"k:kind={kind}|q={q}|fmt={fmt}", f"k:words={min(s.count(' '), 4)}|digit={any(c.isdigit() for c in s)}|q={q}",
+                f"k:last={(_SPLIT.findall(name) or ['-'])[-1].lower()}|sort={sort}|q={q}", f"k:open={left.lstrip()[:1] in '-*#>' and '`' in left}|fmt={fmt}",
+                f"k:same={name.lower() in s.lower() or s.lower() in name.lower()}|q={q}", f"k:has={any(p in _SECRET or p in ('token', 'key') for p in (x.lower() for x in _SPLIT.findall(s)))}|q={q}",
+            ]
         out.append([slot(f) for f in fs])
         before = b
     return out
@@ -385,33 +429,67 @@ def _training(n: int, seed: int):
 
 
 def _training_keyed(n: int, seed: int):
-    """(text, credential spans) of literals right after a key whose signs say little: words, digits, phrases and odd signs."""
+    """(text, credential spans, format) of literals right after a key whose signs say little: words, digits, phrases and odd
+    signs, in quotes or bare. Bare words are credentials in settings and names in code; words that say what a field is are none."""
     r = random.Random(seed)
     nouns = ["horse", "battery", "staple", "river", "copper", "winter", "garden", "silver", "monkey", "dragon", "summer", "coffee", "rocket", "purple", "tiger", "castle", "orange", "thunder", "pickle", "anchor"]
-    names = ["password", "db_password", "DB_PASSWORD", "passwd", "adminPassword", "pwd", "passphrase", "secret", "clientSecret", "client_secret", "smtp_pass", "kennwort", "api_key", "apiKey", "authToken", "webhook_secret", "signing_key"]
+    names = ["password", "db_password", "DB_PASSWORD", "passwd", "adminPassword", "pwd", "passphrase", "secret", "clientSecret", "client_secret", "smtp_pass", "kennwort", "api_key", "apiKey", "authToken", "webhook_secret", "signing_key", "PASSWORD", "MYSQL_PASS", "API_SECRET"]
     ways = ['{n} = "{v}"', "{n} = '{v}'", "const {n} = '{v}';", '  "{n}": "{v}",', "  {n}: '{v}'", '{n}: "{v}"', '{n} := "{v}"', '    String {n} = "{v}";', "connect(host, {n}='{v}')", '{n}="{v}"']
-    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    odd = lambda: "".join(r.choice(nouns)[: r.randint(2, 4)] + r.choice(";:,<>{}()[]=!?&|") + r.choice(["", digits(2)]) for _ in range(r.randint(2, 4)))
-    good = [lambda: "".join(r.sample(nouns, 2)), lambda: "".join(r.sample(nouns, 2)), lambda: digits(r.randint(4, 12)), lambda: " ".join(r.sample(nouns, r.randint(3, 5))), odd, lambda: r.choice(nouns).title() + " " + r.choice(nouns) + digits(2) + r.choice("!;:,")]
+    bare = ["{n}={v}", "export {n}={v}", "{n}: {v}", "  {n}: {v}", "set {n}={v}", "ENV {n}={v}", "    - {n}: {v}"]
+    code = ["{n} = {v}", "{n} = {v};", "const {n} = {v};", "connect(host, {n}={v})", "    {n}: {v},", "    {n}={v},", "self.{n} = {v}", "def open({n}: {v}):", "    {n}: {v}", "  {n}: {v};", "return {{ {n}: {v} }}", "function go({n}: {v}) {{"]
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    digits = lambda k: pick("0123456789", k)
+
+    def made_word():
+        return "".join(pick("bcdfghklmnprstvwz", 1) + pick("aeiou", 1) + r.choice(["", "", pick("lmnrst", 1)]) for _ in range(r.randint(2, 4)))
+
+    def word():
+        return r.choice(nouns) if r.random() < 0.4 else made_word()
+
+    def leet():
+        return word().replace(r.choice("eaio"), r.choice("3410"))
+
+    odd = lambda: "".join(word()[: r.randint(2, 4)] + r.choice(";:,<>{}()[]=!?&|@") + r.choice(["", digits(2)]) for _ in range(r.randint(2, 4)))
+    good = [word, lambda: word() + word(), lambda: word() + word() + word(), lambda: digits(r.randint(4, 12)), lambda: " ".join(word() for _ in range(r.randint(3, 5))), odd, lambda: word().title() + " " + word() + digits(2) + r.choice("!;:,"),
+            lambda: " ".join(r.choice([leet, word, lambda: r.choice(["pass", "my", "secret", "phrase", "p4ss"])])() for _ in range(r.randint(2, 4))) + " " + digits(2), lambda: word() + digits(r.randint(1, 4)), lambda: word().title() + "@" + digits(2), leet]
+    plain_good = [word, word, lambda: word() + word(), lambda: word() + digits(r.randint(1, 4)), lambda: word().title() + digits(2), leet, lambda: digits(r.randint(4, 10)), lambda: word() + r.choice("!@#%") + digits(2)]
     refs = ["string", "password", "required", "hidden", "basic", "bearer", "none", "null", "true", "default", "optional", "text", "admin-secret", "db_password", "settings.password", "process.env.SECRET", "input[name=password]", "#password", "Enter your password",
             "Password", "Your password", "password must not be empty", "The password is too short", "Please enter the password.", "Passwort eingeben", "wrong password for %s", "a secret of the store", "read from the store", "see the vault", "{{ password }}", "${PASS}", "<your password>",
             "<password>", "{password}", "%s:%s", "Missing token: %s", "no token, no access", "utf-8", "sha256", "form-control", "/run/keys/db", "auth/login", "token", "login", "******** ********", "changeme", "(none)", "[hidden]", "<hidden>", "{}", "[...]", "os.environ['PASS']", "getenv(PASS)"]
+    types = ["string", "str", "String", "None", "null", "nil", "undefined", "True", "False", "true", "false", "required", "optional", "hidden", "String!", "bytes", "Optional", "self", "this", "any", "unknown", "secret", "password", "token", "changeme", "REDACTED", "redacted", "masked", "xxxx", "xxxxxxxx", "********", "TODO", "none", "number", "boolean", "Secret", "text", "varchar", "value", "input", "file", "env", "vault", "stdin", "prompt", "external", "disabled", "enabled", "default", "empty", "see", "the"]
+    parts = ["user", "config", "settings", "opts", "args", "self", "this", "req.body", "env", "ctx", "form", "cfg", "process.env", "os.environ", "secrets", "params", "props", "store", "next", "new", "old", "read", "load", "get"]
     made = []
     while len(made) < n:
-        name, k = r.choice(names), r.random()
-        if k < 0.42:
+        name, k, fmt = r.choice(names), r.random(), r.choice(["-", "conf", "code", "prose"])
+        hit = True
+        if r.random() < 0.03:
+            name = f"{r.choice(nouns)}_{r.choice(nouns)}_{r.choice(['pw', 'pw', 'token'])}"
+            v, hit = r.choice([word, lambda: digits(r.randint(3, 4))])(), False
+            way = r.choice(['  "{n}": "{v}",', "{n}: {v}", "  {n}: {v}"] if name.endswith("pw") else ["- `{n}`: {v} every query at most once", "* `{n}`: {v} a list", "`{n}`: {v} the next one"])
+        elif k < 0.32:
             v, way = r.choice(good)(), r.choice(ways)
-        elif k < 0.48:
-            v, way = digits(r.randint(4, 10)), r.choice(["{n} = {v}", "{n}={v}", "{n}: {v}", "  {n}: {v}"])
-        elif k < 0.92:
+        elif k < 0.50:
+            v, way, fmt = r.choice(plain_good)(), r.choice(bare), r.choice(["conf", "conf", "conf", "-", "prose"])
+        elif k < 0.54:
+            v, way, fmt = r.choice(plain_good)(), r.choice(["{n} = {v}", "  {n} = {v}"]), "conf"
+        elif k < 0.78:
             upper = re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).upper()
             own = [f"${{{upper}}}", f"${{{r.choice(nouns).upper()}_{upper}}}", "${" + name + "}", "$" + upper, "{{ " + upper + " }}", f"%{upper}%", f"vault:kv/{r.choice(nouns)}#{name}", f"vault:kv/{r.choice(nouns)}#{r.choice(nouns)}_{name}", f"<your-{name}>", f"[your-{name}]", "*" * 12, "x" * 20]
-            v, way = r.choice(own if r.random() < 0.5 else refs), r.choice(ways)
+            v, way, hit = r.choice(own if r.random() < 0.5 else refs), r.choice(ways), False
+        elif k < 0.84:
+            v, way, hit = r.choice(types), r.choice(bare + code), False
+        elif k < 0.96:
+            v = r.choice([lambda: f"{r.choice(parts)}.{name}", lambda: f"{r.choice(parts)}.{r.choice(parts)}.{r.choice(nouns)}", lambda: f"{r.choice(parts)}_{name}", lambda: f"{r.choice(parts)}{name.title()}", lambda: name, lambda: r.choice(nouns), made_word, lambda: f"{word()}_{word()}", lambda: word() + word().title(), lambda: name + digits(1)])()
+            way, fmt, hit = r.choice(code), r.choice(["code", "code", "-"]), False
+            if fmt == "-" and v.isalpha() and v.islower() and way in ("{n} = {v}", "    {n}: {v}"):
+                fmt = "code"
+        elif k < 0.98:
+            v, way, fmt, hit = r.choice([f"secrets/{r.choice(nouns)}", f"{r.choice(nouns)}-{name}", f"{name}_{r.choice(nouns)}", f"/run/secrets/{r.choice(nouns)}", f"file:/etc/{r.choice(nouns)}"]), r.choice(bare), "conf", False
         else:
-            name, v, way = r.choice(["pw", "pass", "aw", "pwd"]), digits(4), r.choice(["var ab=12,{n}={v},c3=[1,2];", ");let lv=1558,{n}={v},q=1", "function(){{var {n}={v};return {n}}}"])
+            name, v, way, hit = r.choice(["pw", "pass", "aw", "pwd"]), digits(4), r.choice(["var ab=12,{n}={v},c3=[1,2];", ");let lv=1558,{n}={v},q=1", "function(){{var {n}={v};return {n}}}"]), False
         text = way.format(n=name, v=v)
         at = text.index(v, text.index(name) + len(name))
-        made.append((text, [(at, at + len(v), B)] if k < 0.48 else []))
+        made.append((text, [(at, at + len(v), B)] if hit else [], fmt))
     return made
 
 
@@ -419,32 +497,40 @@ def _training_keyed(n: int, seed: int):
 def model() -> Crf:
     """The trained field, made once in a process."""
     chains = []
-    for text, spans in [*_training(TRAIN_LINES, SEED), *_training_keyed(KEYED_LINES, SEED)]:
+    for text, spans, *fmt in [*_training(TRAIN_LINES, SEED), *_training_keyed(KEYED_LINES, SEED)]:
         toks = tokens(text)
         if not toks:
             continue
         labels = [next((lab for x, y, lab in spans if a < y and x < b and min(b, y) - max(a, x) >= 0.6 * (b - a)), O) for a, b, _ in toks]
-        chains.append((features(text, toks), labels))
+        chains.append((features(text, toks, *fmt), labels))
     return Crf(3).fit(chains, epochs=6, rate=0.25, l2=1e-5, seed=SEED)
 
 
 _END = re.compile(r"-----END [A-Z0-9 ]*-----")
+_BODY = re.compile(r"(?:[\s\\nr\"'+,`]*(?:[A-Za-z0-9+/=]{16,}|[A-Z][A-Za-z-]+: [^\n\\]*))*")
 
 
-def spans(text: str, crf: Crf) -> list[tuple[int, int, bool]]:
+def block_end(text: str, at: int) -> int:
+    """Where the key block whose begin mark ends at ``at`` ends: after its end mark, however far, unless another block begins before; else after the lines that look like a key's."""
+    m, other = _END.search(text, at), text.find("-----BEGIN ", at)
+    if m and (other < 0 or m.start() < other):
+        return m.end()
+    return at + len(_BODY.match(text, at).group())
+
+
+def spans(text: str, crf: Crf, fmt: str = "-") -> list[tuple[int, int, bool]]:
     """(start, end, begins a credential) of the Viterbi spans of a text."""
     toks = tokens(text)
     if not toks:
         return []
     joins = [False] + [bool(_JOIN.fullmatch(text[x[1] : y[0]])) for x, y in zip(toks, toks[1:])]
-    out, chain = [], crf.viterbi(features(text, toks), joins)
+    out, chain = [], crf.viterbi(features(text, toks, fmt), joins)
     until = -1
     for (a, b, how), label in zip(toks, chain):
         if label == O or a < until:
             continue
         if how == "block":
-            m = _END.search(text, b)
-            b = m.end() if m and m.start() - b < 20_000 else b + len(re.compile(r"(?:[\s\\nr\"'+,`]*[A-Za-z0-9+/=:,-]{16,})*").match(text, b).group())
+            b = block_end(text, b)
         begins = label == B or not out
         out.append((a, b, begins))
         until = b
@@ -460,9 +546,13 @@ def redact(text: str, found: list[tuple[int, int, bool]]) -> str:
     return "".join([*out, text[pos:]])
 
 
+def _path(df: DataFrame):
+    return (F.col("rel_path") if "rel_path" in df.columns else F.lit(None).cast("string")).alias("path")
+
+
 def _texts(files: DataFrame, contents: DataFrame, chunks: DataFrame) -> DataFrame:
     def part(df, origin, key, col):
-        return df.select(F.lit(origin).alias("origin"), F.col(key).alias("record_id"), F.col(col).alias("text"))
+        return df.select(F.lit(origin).alias("origin"), F.col(key).alias("record_id"), F.col(col).alias("text"), _path(df))
 
     return (
         part(files, "rel_path", "file_id", "rel_path").distinct()
@@ -473,7 +563,7 @@ def _texts(files: DataFrame, contents: DataFrame, chunks: DataFrame) -> DataFram
 
 
 def label(texts: DataFrame) -> DataFrame:
-    """(origin, record_id, start, end, line_no, begins) of every credential span in (origin, record_id, text) rows.
+    """(origin, record_id, start, end, line_no, begins) of every credential span in (origin, record_id, text, path) rows.
 
     Null and empty texts have none. Rows that repeat give repeated results.
     """
@@ -482,9 +572,9 @@ def label(texts: DataFrame) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for origin, rid, text in zip(b["origin"], b["record_id"], b["text"]):
+            for origin, rid, text, path in zip(b["origin"], b["record_id"], b["text"], b["path"]):
                 lines = origin not in ("rel_path", "chunk_text_preview")
-                rows += [(origin, rid, a, e, text.count("\n", 0, a) + 1 if lines else 1, first) for a, e, first in spans(text, crf)]
+                rows += [(origin, rid, a, e, text.count("\n", 0, a) + 1 if lines else 1, first) for a, e, first in spans(text, crf, format_of(path))]
             yield pd.DataFrame(rows, columns=["origin", "record_id", "start", "end", "line_no", "begins"])
 
     return texts.mapInPandas(work, "origin string, record_id string, start int, end int, line_no int, begins boolean")
@@ -502,7 +592,7 @@ def redacted_texts(files: DataFrame, contents: DataFrame, chunks: DataFrame) ->
 
 def redacted(contents: DataFrame) -> DataFrame:
     """(file_id, content, spans): the same for the texts of ``contents`` alone."""
-    texts = contents.select(F.lit("content").alias("origin"), F.col("file_id").alias("record_id"), F.col("content").alias("text"))
+    texts = contents.select(F.lit("content").alias("origin"), F.col("file_id").alias("record_id"), F.col("content").alias("text"), _path(contents))
     return _redacted(texts).select(F.col("record_id").alias("file_id"), F.col("text").alias("content"), "spans")
 
 
@@ -511,7 +601,7 @@ def _redacted(texts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [spans(t, crf) if t else [] for t in b["text"]]
+            got = [spans(t, crf, format_of(p)) if t else [] for t, p in zip(b["text"], b["path"])]
             yield pd.DataFrame({"origin": b["origin"], "record_id": b["record_id"], "text": [redact(t, g) if t else t for t, g in zip(b["text"], got)], "spans": [len(g) for g in got]})
 
     return texts.distinct().mapInPandas(work, "origin string, record_id string, text string, spans int")

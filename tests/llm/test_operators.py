@@ -62,6 +62,25 @@ def test_plain_literals_after_a_key():
         assert not C.spans(text, crf)
 
 
+def test_forms_outside_the_templates():
+    """Lines written by hand, not by the training's templates: words, phrases and odd signs, quoted and bare."""
+    crf = C.model()
+    hits = [('password = "correcthorsebattery"', "correcthorsebattery", "-"), ('PASSWORD = "letmein"', "letmein", "-"), ("password: hunter", "hunter", "-"), ("export DB_PASS=swordfish", "swordfish", "-"), ('db_password = "Ab;3k=9,zQ!x"', "Ab;3k=9,zQ!x", "-"),
+            ('secret = "Zx(9)kkP{2}q"', "Zx(9)kkP{2}q", "-"), ('"password": "P@ss:word1"', "P@ss:word1", "-"), ('password = "s3cr3t pass phrase 99"', "s3cr3t pass phrase 99", "-"), ("DB_PASSWORD=hunter2", "hunter2", "-"), ("spring.datasource.password: bluebird", "bluebird", "conf")]
+    for text, value, fmt in hits:
+        assert C.redact(text, C.spans(text, crf, fmt)) == text.replace(value, C.MARK), text
+    for text, fmt in [("password = get_password()", "code"), ("const password = user.password;", "code"), ("def f(password: str):", "code"), ("apiKey: config.apiKey,", "code"), ("password: ${DB_PASS}", "conf"), ("password: required", "conf"), ('password_label = "Enter your password"', "code"), ("password: str = None", "code"), ('if password == "": pass', "code")]:
+        assert not C.spans(text, crf, fmt), text
+
+
+def test_long_key_blocks():
+    crf = C.model()
+    for lines in (3, 400, 4000):
+        text = "a = 1\n-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB01\n\n" + ("Qm9" * 21 + "\n") * lines + "-----END RSA PRIVATE KEY-----\nb = 2\n"
+        out = C.redact(text, C.spans(text, crf))
+        assert "Qm9" not in out and "END" not in out and out.startswith("a = 1\n") and out.endswith("b = 2\n") and out.count("\n") == text.count("\n")
+
+
 def test_redaction_of_all_origins(spark, tmp_path):
     from codelode.llm import queries
 
