@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from codelode.operators.change_capture import next_state, pending_commits
-from codelode.session import table
+from codelode.session import scratch, table
+
+
+_TABLES = ("commits", "index_generation", "history_state")
 
 
 def p4_found(spark, sf_dir):
-    return pending_commits(*(table(spark, sf_dir, t) for t in ("commits", "index_generation", "history_state"))).select("root_id", "sha")
+    """The commits in the sink of the run that is due: planned ahead, written, and read back by key and offset."""
+    return pending_commits(*(table(spark, sf_dir, t) for t in _TABLES), scratch(spark, "feed")).select("root_id", "sha")
 
 
 def p4_state(spark, sf_dir):
-    return next_state(*(table(spark, sf_dir, t) for t in ("commits", "index_generation", "history_state")))
+    return next_state(*(table(spark, sf_dir, t) for t in _TABLES), scratch(spark, "feed"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_state": p4_state}
