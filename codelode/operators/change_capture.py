@@ -18,8 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Copies of the state's few rows, so that one hot partition is joined in as many tasks.
-SALT = 16
+from codelode.operators.joins import salted_join
 
 
 def last_good_runs(generations: DataFrame, history: DataFrame) -> DataFrame:
@@ -49,16 +48,10 @@ def last_good_runs(generations: DataFrame, history: DataFrame) -> DataFrame:
 def with_offsets(log: DataFrame, state: DataFrame, partition: str, key: str, columns: tuple[str, ...] | None = None) -> DataFrame:
     """``log`` with its partition's columns of ``state`` (all but the partition, or ``columns``; null if it has none).
 
-    The state has one row for each partition. It is repeated ``SALT`` times
-    and joined on partition and salt, so a partition with a third of all rows
-    is still spread over many tasks whichever join Spark picks.
+    The state has one row for each partition; a partition with a third of all rows is spread over many tasks.
     """
-    salted = state.select(partition, *(columns or [c for c in state.columns if c != partition]), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
-    return (
-        log.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int"))
-        .join(salted, [partition, "_salt"], "left")
-        .drop("_salt")
-    )
+    kept = state.select(partition, *(columns or [c for c in state.columns if c != partition]))
+    return salted_join(log, kept, [partition], [key], "left")
 
 
 def head_offsets(log: DataFrame, runs: DataFrame) -> DataFrame:
@@ -77,7 +70,7 @@ class ChangeFeed:
     and number of rows up to high), ``sink/<n>`` (what batch n wrote), ``done/<n>`` (batch n
     is finished) and ``base/<n>`` (the sinks up to n, compacted). Each is a
     table written by Spark, whole only with its ``_SUCCESS`` file; anything
-    less is written anew. One run at a time may work on a folder. ``fields`` are the columns whose
+    less is written anew. The log keeps its rows, as processed ones are compared with. One run at a time may work on a folder. ``fields`` are the columns whose
     change makes a key count again; empty means all others.
     """
 
