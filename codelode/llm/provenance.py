@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.operators.joins import salted_join
+
 #: Signs a name is folded to: letters, 0, _, $, ? and the two ends.
 ALPHABET = 32
 #: Bits a character above which names are mangled; share of short names needed besides.
@@ -35,6 +37,8 @@ MANGLED_BITS, SHORT_SHARE = 3.2, 0.35
 STRANGE_NAMES, ROOT_BITS, ROOT_GRAMS = 30, 3.6, 2000
 #: Names of a window, and the share of distinct ones under which a file is a template (sf0.1: hand-written ones have 0.23 and more, dumps 0.04).
 WINDOW, LOW_DIVERSITY = 100, 0.12
+#: Different names a task holds before it spells them out, and costs a model remembers.
+HELD_NAMES, MEMO = 200_000, 200_000
 #: Buckets of roots and parts a root's strange files are split into.
 ROOT_BUCKETS, PARTS = 65_536, 16
 #: First comment lines, in which a notice in any words counts.
@@ -112,13 +116,22 @@ def _counts(contents: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
+        words: Counter = Counter()
+
+        def spell() -> None:
+            for (lang, w), n in words.items():
+                f = fold(w)
+                for i in range(len(f) - 2):
+                    total[lang, f[i : i + 3]] += n
+            words.clear()
+
         for b in batches:
             for path, text in zip(b["rel_path"], b["content"]):
-                for lang, words in ((language_of(path), set(names(text))), ("path", set(path_words(own_part(path))))):
-                    for w in words:
-                        f = fold(w)
-                        for i in range(len(f) - 2):
-                            total[lang, f[i : i + 3]] += 1
+                words.update([(language_of(path), w) for w in set(names(text))])
+                words.update([("path", w) for w in set(path_words(own_part(path)))])
+            if len(words) > HELD_NAMES:
+                spell()
+        spell()
         yield pd.DataFrame([(a, g, n) for (a, g), n in total.items()], columns=["language", "gram", "n"])
 
     return contents.mapInPandas(work, "language string, gram string, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n"))
@@ -134,9 +147,18 @@ class Trigrams:
         self.none = math.log2(ALPHABET)
         self.bits = {g: -math.log2((n + 0.5) / (pre[g[:2]] + 0.5 * ALPHABET)) for g, n in grams.items()}
         self.rest = {p: -math.log2(0.5 / (n + 0.5 * ALPHABET)) for p, n in pre.items()}
+        self.known: dict[str, float] = {}
 
     def cost(self, name: str) -> float:
-        """Mean bits a sign of a name."""
+        """Mean bits a sign of a name; remembered, as files share most of their names."""
+        got = self.known.get(name)
+        if got is None:
+            if len(self.known) > MEMO:
+                self.known.clear()
+            got = self.known[name] = self._cost(name)
+        return got
+
+    def _cost(self, name: str) -> float:
         f = fold(name)
         return sum(self.bits.get(f[i : i + 3]) or self.rest.get(f[i : i + 2], self.none) for i in range(len(f) - 2)) / (len(f) - 2)
 
@@ -334,6 +356,6 @@ def not_handwritten(contents: DataFrame) -> DataFrame:
     models = train(_rows(contents))
     files = cut(provenance(contents, models).select("file_id", "root_id", "body", "reason", "strange"))
     marked = files.filter(F.col("reason").isNotNull()).select("file_id", "reason")
-    copied = files.filter(F.col("reason").isNull()).join(copies(files), "body").select("file_id", F.lit("vendored").alias("reason"))
+    copied = salted_join(files.filter(F.col("reason").isNull() & F.col("body").isNotNull()), copies(files), ["body"], ["file_id"]).select("file_id", F.lit("vendored").alias("reason"))
     foreign = foreign_to_root(files, contents, models).select("file_id", F.lit("foreign").alias("reason"))
     return marked.unionByName(copied).unionByName(foreign).distinct()
