@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,42 +50,67 @@ def words(s: str) -> list[str]:
     return out
 
 
+def similarities(bags: list[list[str]]) -> list[float]:
+    """The cosine of the word counts of the blocks before and after each gap between units.
+
+    A block is the fewest whole units next to the gap that hold ``BLOCK_WORDS`` words. Both blocks
+    only move forward, so each word enters and leaves each of them once.
+    """
+    left: dict[str, int] = {}
+    right: dict[str, int] = {}
+    dot = left_sq = right_sq = left_n = right_n = 0
+    out, lo, hi = [], 0, 0  # the blocks are units [lo, i) and [i, hi)
+    for i in range(1, len(bags)):
+        # the unit before the gap goes from the right block to the left one
+        for w in bags[i - 1]:
+            if i - 1 < hi:
+                v = right[w]
+                right[w], right_sq, right_n = v - 1, right_sq - 2 * v + 1, right_n - 1
+                dot -= left.get(w, 0)
+            v = left.get(w, 0)
+            left[w], left_sq, left_n = v + 1, left_sq + 2 * v + 1, left_n + 1
+            dot += right.get(w, 0)
+        hi = max(hi, i)
+        while lo < i - 1 and left_n - len(bags[lo]) >= BLOCK_WORDS:
+            for w in bags[lo]:
+                v = left[w]
+                left[w], left_sq, left_n = v - 1, left_sq - 2 * v + 1, left_n - 1
+                dot -= right.get(w, 0)
+            lo += 1
+        while hi < len(bags) and right_n < BLOCK_WORDS:
+            for w in bags[hi]:
+                v = right.get(w, 0)
+                right[w], right_sq, right_n = v + 1, right_sq + 2 * v + 1, right_n + 1
+                dot += left.get(w, 0)
+            hi += 1
+        norm = math.sqrt(left_sq * right_sq)
+        out.append(dot / norm if norm else 0.0)
+    return out
+
+
 def gaps(text: str) -> list[tuple[int, float]]:
     """(offset, score) of each gap between units; the score is the valley's depth and the kind of boundary."""
     us = units(text)
-    bags = [words(text[a:b]) for a, b in us]
     fence, inside = False, []
     for a, b in us:
         line = text[a:b].lstrip()
         if line.startswith("```"):
             fence = not fence
         inside.append(fence or line.startswith("|"))
-    sims = []
-    for i in range(1, len(us)):
-        left: Counter = Counter()
-        right: Counter = Counter()
-        n, j = 0, i - 1
-        while j >= 0 and n < BLOCK_WORDS:
-            left.update(bags[j])
-            n, j = n + len(bags[j]), j - 1
-        n, j = 0, i
-        while j < len(us) and n < BLOCK_WORDS:
-            right.update(bags[j])
-            n, j = n + len(bags[j]), j + 1
-        dot = sum(v * right[k] for k, v in left.items())
-        norm = math.sqrt(sum(v * v for v in left.values()) * sum(v * v for v in right.values()))
-        sims.append(dot / norm if norm else 0.0)
+    sims = similarities([words(text[a:b]) for a, b in us])
+    # the nearest peak on each side, in one pass each way: a slope goes on while it does not fall
+    before, after = sims[:], sims[:]
+    for i in range(1, len(sims)):
+        if sims[i - 1] >= sims[i]:
+            before[i] = before[i - 1]
+    for i in range(len(sims) - 2, -1, -1):
+        if sims[i + 1] >= sims[i]:
+            after[i] = after[i + 1]
     out = []
     for i, s in enumerate(sims):
-        a = i
-        while a > 0 and sims[a - 1] >= sims[a]:
-            a -= 1
-        b = i
-        while b < len(sims) - 1 and sims[b + 1] >= sims[b]:
-            b += 1
         start, prev = us[i + 1][0], text[us[i][0] : us[i][1]]
         level = 3 if re.search(r"\n[ \t\r]*\n\s*$", prev) or text.startswith("#", start) else 2 if "\n" in prev else 1
-        out.append((start, (sims[a] - s) + (sims[b] - s) + LEVEL_BONUS * level - INSIDE_COST * (inside[i] and inside[i + 1])))
+        out.append((start, (before[i] - s) + (after[i] - s) + LEVEL_BONUS * level - INSIDE_COST * (inside[i] and inside[i + 1])))
     return out
 
 
