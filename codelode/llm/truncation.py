@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codelode.operators.joins import salted_join
+
 #: A length is a limit from so many texts and so many times the mean of the lengths within ``NEAR`` of it.
 LEAST, TIMES, NEAR, SHORTEST = 5, 5.0, 16, 100
 #: and from this share of a source's texts.
@@ -57,41 +59,45 @@ def representations(text) -> dict:
     }
 
 
+FORMS = ("chars", "utf8", "utf16", "chars_crlf", "utf8_crlf", "chars_html", "utf8_html", "chars_json", "utf8_json", "ascii_json")
+
+
 def source_of(col):
     """A source's name without case and outer white space; null where nothing is left."""
     return F.nullif(F.lower(F.trim(col)), F.lit(""))
 
 
+def _plain(form: str) -> int:
+    """Of equal forms the plainest counts: the later in ``FORMS``, the less."""
+    return -FORMS.index(form)
+
+
 def limits(documents: DataFrame) -> DataFrame:
     """(source, form, size, texts): the hidden storage limits of each source.
 
     Each different text of a source counts once. A text that fits several limits is
     counted for the one with most texts, so a limit in one form does not
-    show again in others.
+    show again in others. Lengths are counted by (source, form, size) before anything is joined; a peak holds
+    ``LIMIT_SHARE`` of its source's texts, so a source has at most its inverse in each form.
     """
+    from codelode.session import cut
+
     texts = documents.filter(F.col("text").isNotNull()).select(source_of(F.col("source")).alias("source"), F.col("text")).filter(F.col("source").isNotNull())
     forms = representations(F.col("text"))
-    lens = (
-        texts.select("source", F.xxhash64("text").alias("h"), F.array(*[F.struct(F.lit(k).alias("form"), v.cast("int").alias("size")) for k, v in forms.items()]).alias("all"))
-        .dropDuplicates(["source", "h"])
-        .select("source", "h", F.explode("all").alias("x"))
-        .select("source", "h", "x.form", "x.size")
-        .filter(F.col("size") >= SHORTEST)
-    )
+    sizes = F.array(*[F.struct(F.lit(k).alias("form"), v.cast("int").alias("size")) for k, v in forms.items()])
+    rows = cut(texts.select("source", F.xxhash64("text").alias("h"), sizes.alias("all")).dropDuplicates(["source", "h"]))
+    hist = rows.select("source", F.explode("all").alias("x")).select("source", "x.form", "x.size").filter(F.col("size") >= SHORTEST).groupBy("source", "form", "size").agg(F.count("*").alias("texts"))
+    of = rows.filter(F.col("all")[0]["size"] >= SHORTEST).groupBy("source").agg(F.count("*").alias("of"))
     near = Window.partitionBy("source", "form").orderBy("size").rangeBetween(-NEAR, NEAR)
-    hist = lens.groupBy("source", "form", "size").agg(F.count("*").alias("texts"))
-    peaks = (
-        hist.withColumn("around", (F.sum("texts").over(near) - F.col("texts")) / (2 * NEAR))
-        .filter((F.col("texts") >= LEAST) & (F.col("texts") > TIMES * F.col("around") + 2))
-        .select("source", "form", "size", "texts", "around")
-    )
-    plain = F.create_map(*[x for i, k in enumerate(forms) for x in (F.lit(k), F.lit(-i))])[F.col("form")]  # of equal forms the plainest
-    best = lens.join(peaks, ["source", "form", "size"]).groupBy("source", "h").agg(F.max(F.struct("texts", plain.alias("plain"), "form", "size", "around")).alias("b"))
-    all_ = lens.filter(F.col("form") == "chars").groupBy("source").agg(F.count("*").alias("of"))
+    high = lambda: (F.col("texts") >= LEAST) & (F.col("texts") > TIMES * F.col("around") + 2) & (F.col("texts") >= LIMIT_SHARE * F.col("of"))
+    peaks = hist.withColumn("around", (F.sum("texts").over(near) - F.col("texts")) / (2 * NEAR)).join(of, "source").filter(high())
+    own = peaks.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("form", "size").alias("k"), F.struct("texts", "around").alias("v")))).alias("peaks"), F.max("of").alias("of"))
+    place = F.create_map(*[x for k in FORMS for x in (F.lit(k), F.lit(_plain(k)))])
+    hit = F.array_max(F.transform(F.filter("all", lambda x: F.map_contains_key("peaks", x)), lambda x: F.struct(F.col("peaks")[x]["texts"].alias("texts"), place[x["form"]].alias("plain"), x["form"].alias("form"), x["size"].alias("size"), F.col("peaks")[x]["around"].alias("around"))))
+    best = salted_join(rows, own, ["source"], ["h"]).select("source", "of", hit.alias("b")).filter("b is not null")
     return (
-        best.groupBy("source", "b.form", "b.size").agg(F.count("*").alias("texts"), F.max("b.around").alias("around")).join(all_, "source")
-        .filter((F.col("texts") >= LEAST) & (F.col("texts") > TIMES * F.col("around") + 2) & (F.col("texts") >= LIMIT_SHARE * F.col("of")))
-        .select("source", "form", "size", "texts")
+        best.groupBy("source", "b.form", "b.size").agg(F.count("*").alias("texts"), F.max("b.around").alias("around"), F.max("of").alias("of"))
+        .filter(high()).select("source", "form", "size", "texts")
     )
 
 
@@ -129,62 +135,80 @@ def last_words(line: str) -> tuple[str, str]:
     return (fold(toks[-2]) if len(toks) > 1 else "^", fold(toks[-1]) if toks else "^")
 
 
-def limit_of(rec, known: dict[str, list]) -> tuple | None:
-    """(form, size) of the limit a row's text is at. Bytes may miss up to three, where a sign did not fit."""
-    for form, size in known.get(rec.source, []):
-        n = getattr(rec, form)
+def limit_of(sizes: dict[str, int], known: list[tuple[str, int]]) -> tuple | None:
+    """(form, size) of the limit a text of these sizes is at. Bytes may miss up to three, where a sign did not fit."""
+    for form, size in known:
+        n = sizes[form]
         if n == size or (form.startswith("utf8") and size - 3 <= n < size):
             return form, size
     return None
 
 
-def _ends(batches: Iterator[pd.DataFrame], known: dict[str, list]) -> Iterator[pd.DataFrame]:
-    two: Counter = Counter()
-    one: Counter = Counter()
-    for b in batches:
-        for rec in b.itertuples(index=False):
-            text = rec.text
-            if not text:
+#: Folded tokens a task remembers, and counts it holds before it hands them on.
+MEMO, HELD = 200_000, 400_000
+
+
+class _Lines:
+    """Counts how lines end, by kind of line; what it holds is bounded by ``HELD``."""
+
+    def __init__(self) -> None:
+        self.two: Counter = Counter()
+        self.one: Counter = Counter()
+        self.memo: dict[str, str] = {}
+
+    def folds(self, line: str) -> list[str]:
+        memo, out = self.memo, []
+        for t in _TOKEN.findall(line):
+            f = memo.get(t)
+            if f is None:
+                if len(memo) > MEMO:
+                    memo.clear()
+                f = memo[t] = fold(t)
+            out.append(f)
+        return out
+
+    def add(self, lines: list[str], at_limit: bool) -> None:
+        fence = False
+        for i, line in enumerate(lines):
+            if line.lstrip().startswith("```"):
+                fence = not fence
+                continue
+            if fence or not line.strip():
                 continue
-            at_limit = limit_of(rec, known) is not None
-            lines = text.rstrip().split("\n")
-            fence = False
-            for i, line in enumerate(lines):
-                if line.lstrip().startswith("```"):
-                    fence = not fence
-                    continue
-                if fence or not line.strip():
-                    continue
-                kind, toks = kind_of(line, lines[i - 1] if i else ""), [fold(t) for t in _TOKEN.findall(line)]
-                if not toks:
-                    continue
-                final = i == len(lines) - 1
-                if final and at_limit:
-                    continue
-                for t in toks[:-1]:
-                    one[kind, t, 0] += 1
-                one[kind, toks[-1], 2 if final else 1] += 1
-                two[kind, toks[-2] if len(toks) > 1 else "^", toks[-1], 2 if final else 1] += 1
-    rows = [(k, p, t, f, n) for (k, p, t, f), n in two.items()] + [(k, None, t, f, n) for (k, t, f), n in one.items()]
-    yield pd.DataFrame(rows, columns=["kind", "before", "word", "place", "n"])
-
-
-def regular_endings(rows: DataFrame, known: dict[str, list]) -> set[tuple]:
-    """The (kind, word before or None, word) with which lines or texts of the collection end regularly.
-
-    All texts are counted, but for the last lines of those at a limit. Every member has at least ``LINE_SHARE`` of the line
+            final = i == len(lines) - 1
+            if final and at_limit:
+                continue
+            toks = self.folds(line)
+            if not toks:
+                continue
+            kind = kind_of(line, lines[i - 1] if i else "")
+            for t in toks[:-1]:
+                self.one[kind, t, 0] += 1
+            self.one[kind, toks[-1], 2 if final else 1] += 1
+            self.two[kind, toks[-2] if len(toks) > 1 else "^", toks[-1], 2 if final else 1] += 1
+
+    def rows(self) -> list[tuple]:
+        out = [(k, p, t, f, n) for (k, p, t, f), n in self.two.items()] + [(k, None, t, f, n) for (k, t, f), n in self.one.items()]
+        self.two.clear()
+        self.one.clear()
+        return out
+
+
+def _regular(counts: DataFrame) -> DataFrame:
+    """(kind, before, word) with which lines or texts of the collection end regularly; ``before`` is null for a word alone.
+
+    ``counts`` has (kind, before, word, place, n): all texts are counted, but for the last lines of those at a limit. Every
+    member has at least ``LINE_SHARE`` of the line
     ends of its kind or ``TEXT_SHARE`` of all text ends, so there are at
     most a few times their inverses.
     """
-    s = rows.mapInPandas(lambda batches: _ends(batches, known), "kind string, before string, word string, place int, n bigint")
-    n = F.col("n")
-    t = s.groupBy("kind", "before", "word").agg(
-        F.sum(F.when(F.col("place") == 0, n).otherwise(0)).alias("within"), F.sum(F.when(F.col("place") == 1, n).otherwise(0)).alias("line"), F.sum(F.when(F.col("place") == 2, n).otherwise(0)).alias("final")
-    )
     from codelode.session import cut
 
-    t = cut(t)
-    tot = {r.kind: r.line for r in t.filter(F.col("before").isNotNull()).groupBy("kind").agg(F.sum("line").alias("line")).collect()}
+    n = F.col("n")
+    t = cut(counts.groupBy("kind", "before", "word").agg(
+        F.sum(F.when(F.col("place") == 0, n).otherwise(0)).alias("within"), F.sum(F.when(F.col("place") == 1, n).otherwise(0)).alias("line"), F.sum(F.when(F.col("place") == 2, n).otherwise(0)).alias("final")
+    ))
+    tot = {r.kind: r.line for r in t.filter(F.col("before").isNotNull()).groupBy("kind").agg(F.sum("line").alias("line")).collect()}  # one row a kind
     texts = t.filter(F.col("before").isNotNull()).agg(F.sum("final")).first()[0] or 0
     share = F.create_map(*[x for k, v in tot.items() for x in (F.lit(k), F.lit(float(max(3.0, LINE_SHARE * v))))])[F.col("kind")] if tot else F.lit(3.0)
     often = F.col("final") >= max(4.0, TEXT_SHARE * texts)
@@ -193,11 +217,12 @@ def regular_endings(rows: DataFrame, known: dict[str, list]) -> set[tuple]:
     number = F.col("word").rlike(r"^0|^P|^I|^L$|^[^\w]$")
     whole = F.col("line") + F.col("final") >= END_SHARE * (F.col("within") + F.col("line") + F.col("final"))
     keep = t.filter((~single & (by_line | often)) | (single & ~number & whole & (by_line | often)))
-    return {(r.kind, r.before, r.word) for r in keep.select("kind", "before", "word").toLocalIterator()}
+    return keep.select("kind", "before", "word")
 
 
-def cut_reason(text: str, regular: set[tuple], at_limit: bool) -> str | None:
-    """Why a text is cut off, or None. Empty texts are whole."""
+def ending(text: str, at_limit: bool) -> str | None | tuple[str, str, str, bool]:
+    """Why a text is cut off, or None if it is whole; where only the collection's own endings can tell,
+    (kind of line, word before, last word, whether it ends after a word's end). Empty texts are whole."""
     t = text.rstrip()
     if not t:
         return None
@@ -231,31 +256,63 @@ def cut_reason(text: str, regular: set[tuple], at_limit: bool) -> str | None:
         opened = last.count("(") - last.count(")")
         return "sentence" if opened > 0 and not re.search(r"[:;]-?\($", last) and at_limit else None
     a, b = last_words(last)
-    if (kind, a, b) in regular or (kind, None, b) in regular:
-        return None
-    return "sentence" if re.search(r"[\s,;:(]$", text) or (kind, None, b) in regular else "word"
+    return kind, a, b, bool(re.search(r"[\s,;:(]$", text))
+
+
+_ENDS = "doc_id bigint, source string, form string, size int, reason string, kind string, before string, word string, open boolean, place int, n bigint"
 
 
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, form, size, reason): ``reason`` says how a text is cut and is null for whole texts;
     ``form`` and ``size`` name the limit the text is at, if any. Null and empty texts are whole; rows that repeat are
-    judged alike."""
+    judged alike.
+
+    With the limits known every text is read once more: its lines are counted and its ending is
+    inspected. Endings that only the counts can judge are joined to the regular ones.
+    """
+    from codelode.session import cut
+
     known: dict[str, list] = {}
     for r in sorted(limits(documents).toLocalIterator(), key=lambda r: (-r.texts, r.form, r.size)):
         known.setdefault(r.source, []).append((r.form, r.size))
-    cols = [F.coalesce(v, F.lit(0)).cast("int").alias(k) for k, v in representations(F.col("text")).items()]
-    texts = documents.select("doc_id", source_of(F.col("source")).alias("source"), "text", *cols)
-    regular = regular_endings(texts, known)
+    used = sorted({form for found in known.values() for form, _ in found}, key=FORMS.index)
+    forms = representations(F.col("text"))
+    texts = documents.select("doc_id", source_of(F.col("source")).alias("source"), "text", *[F.coalesce(forms[k], F.lit(0)).cast("int").alias(k) for k in used])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _ENDS.split(", ")]
+        none = (None,) * 5
+        types = {"doc_id": "Int64", "size": "Int32", "place": "Int32", "n": "Int64", "open": "boolean"}
+        count = _Lines()
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=names).astype(types)
+
         for b in batches:
             rows = []
-            for rec in b.itertuples(index=False):
-                hit = limit_of(rec, known)
-                rows.append((rec.doc_id, rec.source, *(hit or (None, None)), cut_reason(rec.text, regular, hit is not None) if rec.text else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "form", "size", "reason"]).astype({"size": "Int32"})
-
-    return texts.mapInPandas(work, "doc_id bigint, source string, form string, size int, reason string")
+            sizes = {k: b[k].tolist() for k in used}
+            for i, (doc, source, text) in enumerate(zip(b["doc_id"], b["source"], b["text"])):
+                hit = limit_of({k: v[i] for k, v in sizes.items()}, known[source]) if source in known else None
+                got = None
+                if text:
+                    count.add(text.rstrip().split("\n"), hit is not None)
+                    got = ending(text, hit is not None)
+                head = (None if pd.isna(doc) else int(doc), source, *(hit or (None, None)))
+                rows.append((*head, None, *got, None, None) if isinstance(got, tuple) else (*head, got, None, None, None, None, None, None))
+            yield frame(rows)
+            if len(count.two) > HELD:
+                yield frame([(*none, k, p, w, None, f, n) for k, p, w, f, n in count.rows()])
+        yield frame([(*none, k, p, w, None, f, n) for k, p, w, f, n in count.rows()])
+
+    ends = cut(texts.mapInPandas(work, _ENDS))
+    regular = _regular(ends.filter("place is not null").select("kind", "before", "word", "place", "n"))
+    # both tables have at most a few times the inverse of the shares
+    two = F.broadcast(regular.filter("before is not null").withColumn("_two", F.lit(True)))
+    one = F.broadcast(regular.filter("before is null").select("kind", "word", F.lit(True).alias("_one")))
+    docs = ends.filter("place is null").join(two, ["kind", "before", "word"], "left").join(one, ["kind", "word"], "left")
+    asked = F.col("kind").isNotNull() & F.col("_two").isNull() & F.col("_one").isNull()
+    reason = F.when(asked, F.when(F.col("open"), "sentence").otherwise("word")).otherwise(F.col("reason"))
+    return docs.select("doc_id", "source", "form", "size", reason.alias("reason"))
 
 
 def rates(rows: DataFrame) -> DataFrame:
