@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.operators.joins import salted_join
+
 #: Signs by which two slips can move a passage.
 SHIFT = 2
 #: Rows of evaluation and of training tasks in one group, as far as paths can be told apart or split.
@@ -247,7 +249,7 @@ def overlaps(tasks: DataFrame) -> DataFrame:
     total = paths.agg(F.sum("e"), F.sum("t")).first()
     shards = max(1, -(-(total[0] or 0) // EVAL_ROWS), -(-(total[1] or 0) // TRAIN_ROWS), 4)
     shard = F.when((F.col("chunks") > 1) | (F.col("blocks") > 1), F.col("path")).otherwise(F.pmod(F.xxhash64("path"), F.lit(shards)).cast("string")).alias("shard")
-    both = rows.join(paths.select("path", "chunks", "blocks", shard), "path")
+    both = salted_join(rows, paths.select("path", "chunks", "blocks", shard), ["path"], ["task_key"])
     salt = F.xxhash64("task_key")
 
     def side(held: bool, own: str, other: str, mark: str):

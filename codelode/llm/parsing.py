@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm.grammars import EMPTY_OK, ENDINGS, grammar
 from codelode.llm.lexers import LexError, lex
+from codelode.operators.joins import salted_join
 
 _MARK = re.compile(r"^(?:<{7}|\|{7}|={7}|>{7})(?: .*)?$", re.M)
 
@@ -84,7 +85,8 @@ def parsed(contents: DataFrame) -> DataFrame:
     result = texts.select("language", "digest", "content").mapInPandas(
         _parse, "language string, digest string, valid boolean, position int, line_no int, cause string"
     )
-    return rows.drop("content").dropDuplicates(["file_id", "root_id", "rel_path", "digest"]).join(result, ["language", "digest"]).drop("digest")
+    files = rows.drop("content").dropDuplicates(["file_id", "root_id", "rel_path", "digest"])
+    return salted_join(files, result, ["language", "digest"], ["file_id"]).drop("digest")
 
 
 def rates(files: DataFrame) -> DataFrame:
