@@ -19,12 +19,6 @@ from codelode.session import cut
 
 #: Languages with a branch of their own; all others share one.
 LANGUAGES = ("en", "de", "fr", "es", "ja")
-#: Domain of each source; others are a domain of their own kind.
-DOMAINS = {
-    "issue_tracker": "discussion", "pull_requests": "discussion", "review_comments": "discussion", "chat_export": "discussion", "forum": "discussion", "mailing_list": "discussion",
-    "readme": "documentation", "api_docs": "documentation", "docstrings": "documentation", "tutorials": "documentation", "faq": "documentation", "wiki": "documentation", "migration_guides": "documentation",
-    "design_notes": "design", "adr": "design", "runbooks": "operations", "incident_reports": "operations", "benchmark_reports": "operations", "podcasts": "speech", "transcripts": "speech",
-}
 SEED = 20
 #: Ranges of the seeded order whose sums tell where a prefix ends.
 RANGES = 4096
@@ -77,10 +71,11 @@ class Mix:
     ``total`` is the number of tokens wanted, by default as many as the targeted
     sources hold once. Source names count without case and outer white space.
     Documents without a doc_id, tokens or targeted source are never taken; a doc_id that repeats
-    counts with each of its rows. Targets without a share are ignored.
+    counts with each of its rows. Targets without a share are ignored. ``domains`` gives the domain of each source, the
+    tree's top; sources it lacks share one of their own.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str = VOCABULARY):
+    def __init__(self, documents: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str = VOCABULARY, domains: dict[str, str] | None = None):
         spark = documents.sparkSession
         source = F.lower(F.trim("source"))
         self.targets = {}
@@ -102,7 +97,7 @@ class Mix:
             for lg in langs:
                 have = self.held.get((s, lg), (0, 0))[0]
                 part = have / per_source[s] if per_source[s] else 1.0
-                leaves[DOMAINS.get(s, "other"), lg, s] = (share * part, float(have * repeats))
+                leaves[(domains or {}).get(s, "other"), lg, s] = (share * part, float(have * repeats))
         self.total = float(total if total is not None else sum(per_source.values()))
         self.budget = {(s, lg): b for (_, lg, s), b in plan(leaves, self.total).items()}
         rows = []

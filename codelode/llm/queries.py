@@ -9,6 +9,12 @@ from codelode.session import table
 
 #: Factor of the neighbour search: below one it may lose neighbours; the README has the measured loss.
 FACTOR = 0.5
+#: A parameter of the mix: the domain of each source of these tables.
+DOMAINS = {
+    "issue_tracker": "discussion", "pull_requests": "discussion", "review_comments": "discussion", "chat_export": "discussion", "forum": "discussion", "mailing_list": "discussion",
+    "readme": "documentation", "api_docs": "documentation", "docstrings": "documentation", "tutorials": "documentation", "faq": "documentation", "wiki": "documentation", "migration_guides": "documentation",
+    "design_notes": "design", "adr": "design", "runbooks": "operations", "incident_reports": "operations", "benchmark_reports": "operations", "podcasts": "speech", "transcripts": "speech",
+}
 
 
 def setting(spark, sf_dir, name: str) -> int:
@@ -64,6 +70,21 @@ def p6_found(spark, sf_dir):
     return pieces.pieces(table(spark, sf_dir, "document_parts"), limit, lap).select("root_id", "rel_path", "part_number").distinct()
 
 
+def p6_rebuilt(spark, sf_dir):
+    """Of each part its length, pieces and whether they are right: within the limit, overlapping as asked, and together the text."""
+    limit, lap = setting(spark, sf_dir, "piece_max_chars"), setting(spark, sf_dir, "piece_overlap_chars")
+    keys = ["root_id", "rel_path", "part_number"]
+    parts = table(spark, sf_dir, "document_parts").select(*keys, "text").distinct().filter(F.char_length("text") > limit).withColumn("digest", F.sha2("text", 256))
+    got = pieces.pieces(parts, limit, lap)
+    tail = F.expr("substring(text, new_start - char_start + 1)")
+    ok = (F.char_length("text") <= limit) & ((F.col("piece_number") == 1) | (F.col("new_start") - F.col("char_start") == lap))
+    rows = got.withColumn("tail", tail).withColumn("ok", ok).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("piece_number", "char_end", "tail"))).alias("p"), F.min("ok").alias("ok"))  # the pieces of one part
+    whole = rows.select(*keys, "ok", F.sha2(F.array_join("p.tail", ""), 256).alias("digest"))
+    lens = parts.groupBy(*keys).agg(F.max(F.char_length("text")).alias("chars"), F.count("*").alias("texts"), F.max("digest").alias("digest"))
+    same = F.col("ok") & ((F.col("texts") > 1) | whole["digest"].eqNullSafe(lens["digest"]))
+    return lens.join(whole, keys).select(*keys, "chars", same.alias("right"))
+
+
 def p7_found(spark, sf_dir):
     return overlap.overlaps(table(spark, sf_dir, "tasks")).select("task_key_a", "task_key_b")
 
@@ -76,16 +97,41 @@ def p8_assign(spark, sf_dir):
     return packing.assign(table(spark, sf_dir, "documents"), setting(spark, sf_dir, "container_tokens"))
 
 
+def p8_checked(spark, sf_dir):
+    """What must hold of the assignment: documents with a text, those lost, tokens lost or doubled, containers over capacity, needless splits."""
+    capacity = setting(spark, sf_dir, "container_tokens")
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null and text is not null")
+    want = docs.select("doc_id", packing.token_count(F.col("text"), packing.VOCABULARY).alias("want"))
+    got = p8_assign(spark, sf_dir)
+    each = got.groupBy("doc_id").agg(F.sum("tokens").alias("got"), F.count("*").alias("parts"))
+    n = lambda c: F.count(F.when(c, 1))
+    rows = want.join(each, "doc_id", "left").agg(F.count("*").alias("documents"), n(F.col("parts").isNull()).alias("lost"), n(~F.col("want").eqNullSafe(F.col("got"))).alias("wrong_tokens"), n((F.col("parts") > 1) & (F.col("want") <= capacity)).alias("needless_splits"))
+    bins = got.groupBy("container_id").agg(F.sum("tokens").alias("t"), F.max("capacity").alias("c")).agg(n((F.col("t") > F.col("c")) | (F.col("c") > capacity)).alias("overfull"))
+    return rows.withColumn("_k", F.lit(1)).join(bins.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one row and one row
+
+
 def p8_report(spark, sf_dir):
     return packing.report(p8_assign(spark, sf_dir))
 
 
+def _mix(spark, sf_dir):
+    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), domains=DOMAINS)
+
+
 def p9_selection(spark, sf_dir):
-    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).selection()
+    return _mix(spark, sf_dir).selection()
 
 
 def p9_shares(spark, sf_dir):
-    return mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).shares()
+    return _mix(spark, sf_dir).shares()
+
+
+def p9_checked(spark, sf_dir):
+    """What must hold of the mix: selected documents that are of no targeted source, repeated too often, or doubled."""
+    most = table(spark, sf_dir, "source_targets").select(F.lower(F.trim("source")).alias("source"), "max_repeats")
+    got = p9_selection(spark, sf_dir).join(F.broadcast(most), "source", "left")  # the targets are a fixed table
+    n = lambda c: F.count(F.when(c, 1))
+    return got.agg(n(F.col("max_repeats").isNull()).alias("untargeted"), n(F.col("copies") > F.col("max_repeats")).alias("too_often"), (F.count("*") - F.countDistinct("doc_id")).alias("doubled"))
 
 
 def p10_found(spark, sf_dir):
@@ -98,8 +144,8 @@ def p10_rates(spark, sf_dir):
 
 QUERIES = {
     "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_reasons": p2_reasons, "p3_found": p3_found, "p3_neighbors": p3_neighbors,
-    "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_report": p7_report,
-    "p8_assign": p8_assign, "p8_report": p8_report, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates,
+    "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_rebuilt": p6_rebuilt, "p7_found": p7_found, "p7_report": p7_report,
+    "p8_assign": p8_assign, "p8_report": p8_report, "p8_checked": p8_checked, "p9_selection": p9_selection, "p9_shares": p9_shares, "p9_checked": p9_checked, "p10_found": p10_found, "p10_rates": p10_rates,
 }
 
 ORACLE: dict[str, str] = {
@@ -113,6 +159,11 @@ n as (select chunk_id, sqrt(sum(x * x)) n from d group by 1),
 s as (select a.chunk_id q, b.chunk_id c, sum(a.x * b.x) dot from d a join d b on a.k = b.k and a.chunk_id like '0%' and a.chunk_id <> b.chunk_id group by 1, 2),
 r as (select q, c, row_number() over (partition by q order by round(dot / (nq.n * nc.n), 6) desc, c) rn from s join n nq on nq.chunk_id = q join n nc on nc.chunk_id = c)
 select distinct least(q, c) chunk_id_a, greatest(q, c) chunk_id_b from r where rn <= 10""",
+    "p6_rebuilt": """
+select root_id, rel_path, part_number, max(length(text))::int chars, true as "right" from document_parts
+where length(text) > (select setting_value from job_settings where setting = 'piece_max_chars') group by 1, 2, 3""",
+    "p8_checked": "select count(*) documents, 0::bigint lost, 0::bigint wrong_tokens, 0::bigint needless_splits, 0::bigint overfull from documents where doc_id is not null and text is not null",
+    "p9_checked": "select 0::bigint untargeted, 0::bigint too_often, 0::bigint doubled",
     "p6_found": """
 select distinct root_id, rel_path, part_number from document_parts
 where length(text) > (select setting_value from job_settings where setting = 'piece_max_chars')""",

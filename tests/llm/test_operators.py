@@ -355,3 +355,49 @@ def test_truncation(spark):
     assert cut == want
     assert {x.source: x.cut for x in truncation.rates(rows).collect()}["notes"] == 4
     assert truncation.judged(df.limit(0)).count() == 0
+
+
+def test_long_texts_are_cut_in_linear_time():
+    import time
+
+    began = time.time()
+    text = "\n".join(f"w{i}a x{i}b" for i in range(80_000))
+    assert len(text) > 1_000_000
+    parts = pieces.split_text(text, 1200, 120)
+    assert "".join(text[n:e] for _, n, e in parts) == text and time.time() - began < 20
+    assert pieces.similarities([[], ["a"], ["a"], []]) == [0.0, 1.0, 0.0]
+
+
+def test_blocks_are_whole_units():
+    """The sliding blocks give what counting each block anew gives."""
+    from collections import Counter
+
+    r = random.Random(5)
+    bags = [[r.choice("abcdefgh") for _ in range(r.choice([0, 0, 3, 20, 70]))] for _ in range(60)]
+    want = []
+    for i in range(1, len(bags)):
+        left, right, n, j = Counter(), Counter(), 0, i - 1
+        while j >= 0 and n < pieces.BLOCK_WORDS:
+            left.update(bags[j])
+            n, j = n + len(bags[j]), j - 1
+        n, j = 0, i
+        while j < len(bags) and n < pieces.BLOCK_WORDS:
+            right.update(bags[j])
+            n, j = n + len(bags[j]), j + 1
+        norm = (sum(v * v for v in left.values()) * sum(v * v for v in right.values())) ** 0.5
+        want.append(sum(v * right[k] for k, v in left.items()) / norm if norm else 0.0)
+    assert np.allclose(pieces.similarities(bags), want)
+
+
+def test_recall_of_slips_by_length():
+    """One slip at any place in tasks of two to twelve words: the passages bring every such pair to the comparison."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
+    for n in range(2, 13):
+        for _ in range(30):
+            words = [word() for _ in range(n)]
+            k, at = r.randrange(n), 0
+            at = r.randrange(1, len(words[k]))
+            slip = words[:k] + [words[k][:at] + words[k][at] + words[k][at:]] + words[k + 1 :]
+            machine = overlap._machine([words], ["p"])
+            assert overlap.same_change(words, slip, False, frozenset()) and list(overlap._hits(machine, "".join(slip), "p")), (words, slip)
