@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 MARK = "[hidden]"
 # Published token forms, credentials in addresses and headers, and names of secret files.
-TOKENS = r"\b(?:AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|sk_live_[A-Za-z0-9]{24}|npm_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,})"
+TOKENS = r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|github_pat_[A-Za-z0-9_]{22,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|sk_live_[A-Za-z0-9]{24}|npm_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,})"
 KEY_BLOCK = r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"
 ADDRESS = r"(://[^\s:/@]*:)[^\s:/@$<{*][^\s/@]*(@)"
 HEADER = r"(?i)(authorization[\"']?\s*[:=]\s*[\"']?(?:bearer|basic)\s+)[A-Za-z0-9._~+/=!%-]{8,}"
-SECRET_PATH = r"(?i)(^|/)(\.env(\.\w+)?|[^/]*\.env|id_(rsa|dsa|ecdsa|ed25519)|\.netrc|\.npmrc|\.pypirc|credentials(\.json)?|[^/]*\.(pem|key|p12|pfx|jks|keystore))$|(^|/)\.(aws|kube|ssh)/"
+SECRET_PATH = r"(?i)(^|/)(\.env|\.env\.(local|dev|development|prod|production|staging|test|ci|secret|secrets|private|backup|bak|old)|[^/]*\.env|id_(rsa|dsa|ecdsa|ed25519)|\.netrc|\.npmrc|\.pypirc|credentials(\.json)?|[^/]*\.(pem|key|p12|pfx|jks|keystore))$|(^|/)\.(aws|kube|ssh)/"
 IGNORED_PART = r"(?i)(^|/)(\.git|node_modules|__pycache__|\.venv|venv|dist|build|target|vendor)(/|$)"
 
 

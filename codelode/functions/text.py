@@ -67,9 +67,9 @@ def size_limit(path: Column, limit: int = 1_000_000) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Lower-case words of two and more letters or digits, split at signs and inside camel case; each once, in order."""
+    """Lower-case words of two and more letters or digits, split at signs and inside camel case; in order, repeats kept."""
     split = F.regexp_replace(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+", " ")
-    return F.array_distinct(F.filter(F.split(F.lower(F.trim(split)), " "), lambda w: F.length(w) >= 2))
+    return F.filter(F.split(F.lower(F.trim(split)), " "), lambda w: F.length(w) >= 2)
 
 
 def text_hint(content: Column) -> Column:
@@ -94,13 +94,14 @@ def dimension(token: Column) -> Column:
 
 
 def hashed_words(text: Column) -> Column:
-    """The lower-case runs of letters and digits of a text, repeats kept."""
-    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+    """The lower-case runs of letters and digits of a text, each followed by its letter and digit parts where it has both; repeats kept."""
+    runs = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+    return F.flatten(F.transform(runs, lambda w: F.concat(F.array(w), F.filter(F.regexp_extract_all(w, F.lit("([a-z]+|[0-9]+)"), 1), lambda x: x != w))))
 
 
-def bm25_scale(term_count: int) -> float:
-    """What long queries multiply the keyword boost by."""
-    return max(1.0, 1 + 4 * (term_count - 24) / 24)
+def tokens_in(chars: Column) -> Column:
+    """A quarter of a number of characters, to the nearest whole, halves to the even one."""
+    return F.bround(chars / 4).cast("bigint")
 
 
 def status_word(status: Column) -> Column:

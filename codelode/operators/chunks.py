@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codelode.functions.query import body_words
 from codelode.functions.text import extension, preview, stable_id, text_hint
 from codelode.operators.extraction import definitions, headings, lines
 from codelode.operators.intervals import filled_spans
@@ -56,11 +57,15 @@ def symbol_pieces(contents: DataFrame) -> DataFrame:
     return out.select("file_id", "name", "kind", start.cast("int").alias("line_start"), F.coalesce("line_end", "_last").cast("int").alias("line_end"))
 
 
-def best_ranges(pieces: DataFrame, by: str, score: str, most: int = 2, share: float = 0.5) -> DataFrame:
-    """The ``most`` best pieces of each ``by`` with at least a share of its best score; ties by start line. Only ``most`` rows of each
-    salted part meet in the last ranking."""
-    order = [F.desc(score), "line_start", "line_end"]
-    part = pieces.withColumn("_s", F.pmod(F.xxhash64("line_start"), F.lit(8)))
-    part = part.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_s").orderBy(*order))).filter(F.col("_r") <= most)
-    final = part.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).withColumn("_b", F.max(score).over(Window.partitionBy(by)))
-    return final.filter((F.col("_r") <= most) & (F.col(score) >= share * F.col("_b"))).drop("_s", "_r", "_b")
+def symbol_texts(contents: DataFrame) -> DataFrame:
+    """(root_id, rel_path, name, line_start, line_end, body): the pieces of each path's newest text with the words of their lines, each word at most three times.
+
+    A piece takes its lines out of the text where it lies; no line is a row of its own.
+    """
+    c = contents.filter("root_id is not null and rel_path is not null and content is not null")
+    last = c.groupBy("root_id", "rel_path").agg(F.max(F.struct("modification_time", "content")).alias("c")).select("root_id", "rel_path", F.col("c.content").alias("content"), F.concat_ws("\x1f", "root_id", "rel_path").alias("file_id"))
+    spans = symbol_pieces(last).dropDuplicates(["file_id", "line_start", "line_end"])
+    rows = spans.join(last.select("file_id", "root_id", "rel_path", F.split("content", "\n").alias("_l")), "file_id")
+    text = F.array_join(F.slice("_l", F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))), "\n")
+    seen = F.aggregate(F.array_sort(body_words(text)), F.array().cast("array<string>"), lambda a, w: F.when((F.size(a) >= 3) & (F.get(a, F.size(a) - 3) == w), a).otherwise(F.concat(a, F.array(w))))
+    return rows.select("root_id", "rel_path", "name", "line_start", "line_end", seen.alias("body"))

@@ -41,11 +41,10 @@ def headings(contents: DataFrame) -> DataFrame:
         F.trim(F.regexp_replace("line", r"^#{1,6}\s+|\s+#*\s*$", "")).alias("title"), "_last",
     )
     after = Window.partitionBy("file_id").orderBy("line_start").rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.struct("level", "line_start")).over(after)  # the headings of one file
-    nxt = F.filter(later, lambda x: x["level"] <= F.col("level"))
-    return found.withColumn("_n", nxt).select(
-        "file_id", "line_start", "level", "title", F.coalesce(F.get("_n", F.lit(0))["line_start"] - 1, F.col("_last")).alias("line_end")
-    )
+    # the next heading of each level and above, by six running minima from the end
+    later = [F.min(F.when(F.col("level") <= n, F.col("line_start"))).over(after) for n in range(1, 7)]
+    nxt = F.array(*later)[F.col("level") - 1]
+    return found.withColumn("_n", nxt).select("file_id", "line_start", "level", "title", F.coalesce(F.col("_n") - 1, F.col("_last")).alias("line_end"))
 
 
 def table_references(contents: DataFrame) -> DataFrame:
@@ -103,11 +102,19 @@ def resolve_imports(found: DataFrame, paths: DataFrame) -> DataFrame:
     return exact.unionByName(loose).filter("rel_path <> target")
 
 
+def is_minified(content):
+    """Whether a text of 20,000 bytes and more is built output: lines of over 300 bytes in the mean with at most a tenth of white space, or a line over 5,000 bytes with less than one line end in 1,000 bytes."""
+    n = F.octet_length(content)
+    breaks = F.char_length(content) - F.char_length(F.replace(content, F.lit("\n"), F.lit("")))
+    spaces = F.char_length(content) - F.char_length(F.translate(content, " \t", ""))
+    longest = F.array_max(F.transform(F.split(content, "\n"), F.octet_length))
+    return (n >= 20_000) & (((n / (breaks + 1) > 300) & (spaces <= 0.1 * n)) | ((longest > 5000) & (breaks < n / 1000)))
+
+
 def minified(contents: DataFrame) -> DataFrame:
-    """(file_id) of scripts and styles with a line over 1,000 characters and less than one line end in 500 characters."""
-    longest = F.array_max(F.transform(F.split("content", "\n"), F.length))
-    rows = contents.filter("content is not null").filter(extension(F.col("rel_path")).isin("js", "css"))
-    return rows.filter((longest > 1000) & (F.size(F.split("content", "\n")) * 500 < F.length("content"))).select("file_id").distinct()
+    """(file_id) of scripts and styles that are built output, see ``is_minified``."""
+    rows = contents.filter("content is not null").filter(extension(F.col("rel_path")).isin("js", "cjs", "mjs", "jsx", "ts", "tsx", "css"))
+    return rows.filter(is_minified(F.col("content"))).select("file_id").distinct()
 
 
 def variable_names(contents: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.operators.joins import salted_join
 from codelode.session import cut
 
 
@@ -20,8 +21,8 @@ def canonical_edges(edges: DataFrame) -> DataFrame:
 
 def conflicting_ids(edges: DataFrame, key: str = "edge_id") -> DataFrame:
     """Ids that stand for different edges; equal repeats are no conflict."""
-    rest = F.struct(*[c for c in edges.columns if c != key])
-    return edges.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.hash(rest)).alias("a"), F.max(F.hash(rest)).alias("b")).filter("a <> b").select(key)
+    rest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in edges.columns if c != key]), {"ignoreNullFields": "false"}), 256)
+    return edges.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(rest).alias("a"), F.max(rest).alias("b")).filter("a <> b").select(key)
 
 
 def without_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -43,11 +44,12 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, undirected: bool = Fal
     seen = cut(start.select("id").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
     for hop in range(1, depth + 1):
-        nxt = frontier.join(steps, frontier["id"] == steps["source"]).select(F.col("target").alias("id")).distinct()
+        # a hub's many edges meet copies of its one frontier row
+        nxt = salted_join(steps, frontier.select(F.col("id").alias("source")), ["source"], ["target"]).select(F.col("target").alias("id")).distinct()
         frontier = cut(nxt.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # a union of at most ``depth`` written tables
     return seen
 
 
@@ -68,7 +70,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = 6) -> Da
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, community) by synchronous label propagation over undirected edges, at most ``rounds`` rounds.
+    """(id, community) by synchronous label propagation over undirected edges, at most ``rounds`` rounds; communities are whole numbers from zero in the order of their smallest label.
 
     A node counts its own label; of equally frequent labels the smallest wins. Labels
     are counted before they are compared, so a hub's neighbours never meet in one group.
@@ -77,14 +79,16 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFra
     both = cut(both)
     labels = cut(nodes.select("id").distinct().withColumn("label", F.col("id")))
     for _ in range(rounds):
-        votes = both.join(labels, both["target"] == labels["id"]).select(F.col("source").alias("id"), "label").unionByName(labels.select("id", "label"))
+        votes = salted_join(both, labels.select(F.col("id").alias("target"), "label"), ["target"], ["source"]).select(F.col("source").alias("id"), "label").unionByName(labels.select("id", "label"))
         counts = votes.groupBy("id", "label").agg(F.count("*").alias("n"))
         new = cut(counts.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select("id", F.col("b.label").alias("label")).join(labels.select("id"), "id", "left_semi"))
         changed = new.alias("n").join(labels.alias("o"), "id").filter("n.label <> o.label").limit(1).count()
         labels = new
         if not changed:
             break
-    return labels.select("id", F.col("label").alias("community"))
+    names = labels.select("label").distinct()
+    numbers = names.rdd.map(lambda r: r.label).sortBy(lambda x: x).zipWithIndex().toDF("label string, community bigint") if not names.isEmpty() else names.withColumn("community", F.lit(0).cast("bigint"))  # numbers in order without one task for all
+    return salted_join(labels, numbers, ["label"], ["id"]).select("id", "community")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

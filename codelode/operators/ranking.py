@@ -52,13 +52,42 @@ def fuse(lists: list[tuple[DataFrame, float]], key: str, k: int) -> DataFrame:
     return parts.groupBy(key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
-def merge_semantic(base: DataFrame, semantic: DataFrame, key: str) -> DataFrame:
-    """(key, score): a full outer merge. A known row gains 0.35 of its semantic score, at least 8 and at most 35;
+def merge_semantic(base: DataFrame, semantic: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, score) with whole scores: a full outer merge. A known row gains 0.35 of its semantic score, cut to a whole number, at least 8 and at most 35;
     a new one enters with its semantic score, at most 80."""
-    gain = F.greatest(F.lit(8.0), F.least(F.lit(35.0), 0.35 * F.col("sem")))
-    both = base.select(key, F.col("score").alias("base")).join(semantic.select(key, F.col("score").alias("sem")), key, "full_outer")
-    score = F.when(F.col("sem").isNull(), F.col("base")).when(F.col("base").isNull(), F.least(F.lit(80.0), F.col("sem"))).otherwise(F.col("base") + gain)
-    return both.select(key, F.round(score, 6).alias("score"))
+    gain = F.greatest(F.lit(8), F.least(F.lit(35), (F.col("sem") * 0.35).cast("int")))
+    both = base.select(*keys, F.col("score").alias("base")).join(semantic.select(*keys, F.col("score").alias("sem")), keys, "full_outer")
+    score = F.when(F.col("sem").isNull(), F.col("base")).when(F.col("base").isNull(), F.least(F.lit(80), F.col("sem"))).otherwise(F.col("base") + gain)
+    return both.select(*keys, score.cast("int").alias("score"))
+
+
+def semantic_scores(chunks: DataFrame, text: str) -> DataFrame:
+    """(root_id, rel_path, score): files by the summed similarity of their chunks to a query, in whole hundredths for each chunk.
+
+    ``chunks`` has chunk_id, root_id, rel_path, chunk_text_preview and vector_json (broken ones count as empty). A chunk without similarity counts 3 for each query term its preview
+    has, at most 12. The query's vector has at most 256 entries and is a literal, so no chunk is joined to anything.
+    """
+    import hashlib
+    import math
+    import re
+
+    from codelode.functions.query import Query
+
+    q, counts = Query(text), {}
+    for run in re.findall("[a-z0-9]+", text.lower()):
+        for w in (run, *(x for x in re.findall("[a-z]+|[0-9]+", run) if x != run)):
+            d = hashlib.sha256(w.encode()).digest()[3]
+            counts[d] = counts.get(d, 0) + 1
+    norm = math.sqrt(sum(v * v for v in counts.values())) or 1.0
+    rows = chunks.filter("root_id is not null and rel_path is not null").select("chunk_id", "root_id", "rel_path", "chunk_text_preview", "vector_json").dropDuplicates(["chunk_id"])
+    v = F.from_json("vector_json", "map<string,double>")
+    sim = F.lit(0.0)
+    for d, n in sorted(counts.items()):
+        sim = sim + F.coalesce(v[str(d)], F.lit(0.0)) * round(n / norm, 6)
+    words = hashed_words(F.coalesce("chunk_text_preview", F.lit("")))
+    seen = F.size(F.array_intersect(F.array(*map(F.lit, sorted(set(q.terms)))) if q.terms else F.array().cast("array<string>"), words))
+    score = F.when(sim > 0, F.bround(sim * 100)).otherwise(F.least(F.lit(12), 3 * seen)).cast("int")
+    return rows.select("root_id", "rel_path", score.alias("score")).filter("score > 0").groupBy("root_id", "rel_path").agg(F.sum("score").cast("int").alias("score"))
 
 
 def over_share(rows: DataFrame, score: str, share: float = 0.1) -> DataFrame:
@@ -81,12 +110,13 @@ def term_vectors(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return counts.select(key, "dim", F.round(F.col("_n") / norm, 6).alias("weight"))
 
 
-def cosine(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
-    """(key_a, key_b, similarity) of the pairs of sparse unit vectors with a common dimension; for few vectors on one side."""
-    return a.join(b.withColumnRenamed("weight", "_w"), "dim").groupBy(key_a, key_b).agg(F.round(F.sum(F.col("weight") * F.col("_w")), 6).alias("similarity"))
-
+def cosine(a: DataFrame, b: DataFrame, key_a: str, key_b: str, few: int = 64) -> DataFrame:
+    """(key_a, key_b, similarity) of the pairs of sparse unit vectors with a common dimension, where ``b`` holds at most ``few`` vectors.
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two term arrays: their Jaccard index with two terms in common or one inside the other, else zero."""
-    both, all_ = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when((all_ > 0) & ((both >= 2) | ((both > 0) & (both == F.least(F.size(a), F.size(b))))), F.round(both / all_, 6)).otherwise(0.0)
+    The few are gathered by dimension into 256 rows, so ``a`` meets a table of fixed size; more than ``few`` are refused.
+    """
+    if b.select(key_b).distinct().limit(few + 1).count() > few:
+        raise ValueError(f"the second side holds more than {few} vectors")
+    own = b.groupBy("dim").agg(F.collect_list(F.struct(F.col(key_b), F.col("weight").alias("_w"))).alias("_v"))  # at most ``few`` entries in each of 256 rows
+    pairs = a.join(F.broadcast(own), "dim").select(key_a, "weight", F.explode("_v").alias("_x"))
+    return pairs.groupBy(key_a, F.col(f"_x.{key_b}").alias(key_b)).agg(F.round(F.sum(F.col("weight") * F.col("_x._w")), 6).alias("similarity"))

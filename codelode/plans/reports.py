@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codelode.functions import privacy as P
-from codelode.functions import text as T
-from codelode.operators import chunks, extraction, feedback, ranking
+from codelode.operators import chunks, extraction
 from codelode.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -109,7 +108,7 @@ def recent_usage(spark, sf):
     last = e.agg(F.max("ts")).first()[0]
     e = e.filter(F.col("ts") >= F.lit(last) - F.expr("interval 90 days"))
     kind = lambda k: F.count(F.when(F.col("event_type") == k, 1))
-    pct = lambda q: F.expr(f"percentile_disc({q}) within group (order by value)")
+    pct = lambda q: F.expr(f"percentile_disc({q}) within group (order by value)")  # noqa: E731  # one session's distinct values
     return e.groupBy("user_id").agg(kind("purchase").alias("changed"), kind("error").alias("errors"), pct(0.5).alias("median_value"), pct(0.95).alias("p95_value"), F.round(kind("purchase") / F.nullif(kind("click"), F.lit(0)), 6).alias("rate"))
 
 
@@ -130,44 +129,7 @@ def document_states(spark, sf):
     return p.groupBy(F.coalesce("status", F.lit("unknown")).alias("state"), "part_kind").agg(F.count("*").alias("parts"), F.count(F.when(F.col("truncated"), 1)).alias("shortened"))
 
 
-@query()
-def feedback_ranking(spark, sf):
-    """Files ranked for a query by what commits with similar subjects changed."""
-    c = table(spark, sf, "commits").groupBy("root_id", "id").agg(F.max("subject").alias("query"))
-    f = table(spark, sf, "commit_files").filter("path is not null").groupBy("commit_id").agg(F.collect_set("path").alias("changed"))
-    none = F.lit(None).cast("array<string>")
-    records = c.join(f, F.col("id") == F.col("commit_id")).select("query", "changed", none.alias("missed"), none.alias("opened"), none.alias("ignored"))
-    found = feedback.signals(records, "render window scope")
-    base = table(spark, sf, "files").select(F.col("rel_path").alias("path")).distinct().filter(F.col("path").contains("render")).withColumn("score", F.lit(10.0))
-    return feedback.apply(base, found)
-
-
 @query()
 def built_chunks(spark, sf):
     """The chunk table built from the texts at hand."""
     return chunks.semantic_chunks(table(spark, sf, "contents"))
-
-
-@query()
-def piece_search(spark, sf):
-    """The two best line ranges of each file for a query, by BM25 over pieces named by their symbols."""
-    p = chunks.symbol_pieces(table(spark, sf, "contents")).withColumn("piece", F.concat_ws(":", "file_id", "line_start", "name"))
-    scores = ranking.bm25(ranking.postings(p, "piece", T.terms(F.col("name"))), "piece", ["render", "window"])
-    return chunks.best_ranges(p.join(scores, "piece"), "file_id", "score").select("file_id", "name", "line_start", "line_end", "score")
-
-
-@query("""
-with d as (select distinct c.chunk_id, c.rel_path, cast(json_keys(vector_json) as varchar[]) k, vector_json vj from semantic_chunks c where json_valid(vector_json) and vector_json <> '{}' and rel_path is not null),
-e as (select chunk_id, rel_path, unnest(map_entries(cast(vj as json)::map(varchar, double))) e from d),
-q as (select 16 * (instr('0123456789abcdef', substr(sha256(t), 7, 1)) - 1) + instr('0123456789abcdef', substr(sha256(t), 8, 1)) - 1 dim from (select unnest(['render', 'window', 'scope']) t)),
-n as (select dim, count(*) / sqrt(sum(count(*) * count(*)) over ()) w from q group by 1),
-s as (select rel_path, chunk_id, sum(e.value * round(w, 6)) sim from e join n on e.key = n.dim::varchar group by 1, 2)
-select rel_path, round(sum(round(sim * 100, 4)), 4) score from s group by 1 order by 2 desc, 1 limit 30""")
-def semantic_files(spark, sf):
-    """Files by the summed similarity of their chunks' stored vectors to a query's vector."""
-    c = table(spark, sf, "semantic_chunks").filter("rel_path is not null and vector_json is not null").select("chunk_id", "rel_path", "vector_json").distinct()
-    rows = c.select("chunk_id", "rel_path", F.explode(F.from_json("vector_json", "map<string,double>")).alias("dim", "weight")).withColumn("dim", F.col("dim").cast("int"))
-    q = ranking.term_vectors(spark.createDataFrame([("q", "render window scope")], "query string, text string"), "query", F.col("text"))
-    # the query has at most 256 rows
-    sims = rows.join(F.broadcast(q.withColumnRenamed("weight", "w")), "dim").groupBy("rel_path", "chunk_id").agg(F.sum(F.col("weight") * F.col("w")).alias("sim"))
-    return ranking.top(sims.groupBy("rel_path").agg(F.round(F.sum(F.round(F.col("sim") * 100, 4)), 4).alias("score")), "score", "rel_path", 30)

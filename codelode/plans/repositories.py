@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codelode.functions import roles as R
 from codelode.functions import text as T
 from codelode.operators import chunks, evaluation, extraction, graph, incremental, intervals, ranking
 from codelode.session import table
@@ -69,20 +70,22 @@ def language_counts(spark, sf):
     return table(spark, sf, "files").filter("rel_path is not null").groupBy(T.language(F.col("rel_path")).alias("language_name")).agg(F.countDistinct("file_id").alias("files"))
 
 
-_ROLES = {"test": T.TEST_PATH, "doc": T.DOC_PATH, "migration": T.MIGRATION_PATH, "retired": T.RETIRED_PATH, "support": T.SUPPORT_PATH, "bundle": T.BUNDLE_PATH}
+_M = lambda p: f"regexp_matches(rel_path, '{p}')"
+_DOC, _TEST, _MIG = f"({_M(R.DOC_FOLDER)} or {_M(R.DOC_NAME)} or {_M(R.DOC_TEXT)})", f"({_M(R.TEST_FOLDER)} or {_M(R.TEST_NAME)})", f"({_M(R.MIGRATION_FOLDER)} or {_M(R.MIGRATION_NAME)})"
+_SOURCE = f"({_M(R.SOURCE)} and not ({_DOC} or {_TEST} or {_MIG} or {_M(R.RETIRED)} or {_M(R.SUPPORT)}))"
+_ROLE_SQL = {
+    "test": _TEST, "doc": _DOC, "migration": _MIG, "retired": _M(R.RETIRED), "supporting": _M(R.SUPPORT), "noise": f"({_M(R.NOISE_FOLDER)} or {_M(R.BUNDLE)} or {_M(R.META)})", "bundle": _M(R.BUNDLE), "source": _SOURCE,
+    "edit_surface": f"(not ({_DOC} or {_TEST} or {_M(R.BUNDLE)} or {_M(R.NO_SURFACE)}) and ({_SOURCE} or {_M(R.SETTINGS)}))",
+}
 
 
-@query(
-    "select " + ", ".join(f"count(*) filter (where regexp_matches(rel_path, '{p}')) {k}_files" for k, p in _ROLES.items())
-    + ", count(*) filter (where not (" + " or ".join(f"regexp_matches(rel_path, '{p}')" for p in _ROLES.values()) + ")) source_files from (select distinct root_id, rel_path from files where rel_path is not null)"
-)
+@query("select root_id, " + ", ".join(f"count(*) filter (where {sql}) {k}_files" for k, sql in _ROLE_SQL.items()) + " from (select distinct root_id, rel_path from files where rel_path is not null and root_id is not null) group by 1")
 def path_roles(spark, sf):
-    """Files by the roles their paths tell; source files are those with none."""
-    rows = table(spark, sf, "files").select("root_id", "rel_path").distinct().filter("rel_path is not null")
-    none = F.lit(True)
-    for p in _ROLES.values():
-        none = none & ~F.col("rel_path").rlike(p)
-    return rows.agg(*[F.count(F.when(F.col("rel_path").rlike(p), 1)).alias(f"{k}_files") for k, p in _ROLES.items()], F.count(F.when(none, 1)).alias("source_files"))
+    """Files of each root by the roles their paths tell."""
+    rows = table(spark, sf, "files").select("root_id", "rel_path").distinct().filter("rel_path is not null and root_id is not null")
+    p = F.col("rel_path")
+    roles = {"test": R.is_test(p), "doc": R.is_doc(p), "migration": R.is_migration(p), "retired": R.is_retired(p), "supporting": R.is_supporting(p), "noise": R.is_noise(p), "bundle": R.is_bundle(p), "source": R.is_source(p), "edit_surface": R.is_edit_surface(p)}
+    return rows.groupBy("root_id").agg(*[F.count(F.when(v, 1)).alias(f"{k}_files") for k, v in roles.items()])
 
 
 @query("""
@@ -96,16 +99,15 @@ def rescanned_files(spark, sf):
 
 
 @query("""
-with a as (select root_id, rel_path, max(hash) h from files group by 1, 2), b as (select root_id, rel_path, max(sha256(content)) h from contents group by 1, 2)
-select root_id, rel_path, case when a.rel_path is null and a.root_id is null then 'added' when b.root_id is null then 'removed' else 'changed' end status
-from a full join b using (root_id, rel_path) where a.h is distinct from b.h or a.root_id is null or b.root_id is null""")
+with o as (select root_id, rel_path, hash h, row_number() over (partition by root_id, rel_path order by indexed_at desc nulls last, hash desc nulls last) rn from files where root_id is not null and rel_path is not null),
+n as (select root_id, rel_path, sha256(content) h, row_number() over (partition by root_id, rel_path order by modification_time desc nulls last, sha256(content) desc nulls last) rn from contents where root_id is not null and rel_path is not null),
+a as (select *, 1 r from o where rn = 1), b as (select *, 1 r from n where rn = 1)
+select root_id, rel_path, case when a.r is null then 'added' when b.r is null then 'removed' else 'changed' end status from a full join b using (root_id, rel_path) where a.h is distinct from b.h or a.r is null or b.r is null""")
 def index_freshness(spark, sf):
-    """Paths that differ between the file index and the texts at hand."""
+    """Paths that differ between the newest row of the file index and the newest text at hand."""
     new = table(spark, sf, "contents").withColumn("hash", F.sha2("content", 256))
-    return incremental.changes(table(spark, sf, "files").filter("root_id is not null and rel_path is not null"), new.filter("root_id is not null and rel_path is not null"), ["root_id", "rel_path"], "hash")
-
-
-ORACLE["index_freshness"] = ORACLE["index_freshness"].replace("from files group", "from files where root_id is not null and rel_path is not null group").replace("from contents group", "from contents where root_id is not null and rel_path is not null group").replace("a.rel_path is null and a.root_id is null", "a.r is null").replace("b.root_id is null", "b.r is null").replace("a.root_id is null", "a.r is null").replace("max(hash) h", "max(hash) h, 1 r").replace("max(sha256(content)) h", "max(sha256(content)) h, 1 r")
+    named = "root_id is not null and rel_path is not null"
+    return incremental.changes(table(spark, sf, "files").filter(named), new.filter(named), ["root_id", "rel_path"], "hash", "indexed_at", "modification_time")
 
 
 @query("""
@@ -164,15 +166,17 @@ def symbol_definitions(spark, sf):
 @query()
 def enclosing_symbols(spark, sf):
     """How many lines each symbol holds as the innermost: lines of code joined to symbol spans."""
-    c = table(spark, sf, "contents").filter(T.extension(F.col("rel_path")) == "py").groupBy("file_id").agg(F.max("content").alias("content"))
-    c = c.withColumn("rel_path", F.lit("a.py"))
+    c = table(spark, sf, "contents").filter("content is not null").select(F.concat_ws(":", "file_id", F.sha2("content", 256)).alias("file_id"), "rel_path", "content").distinct()
     spans = chunks.symbol_pieces(c).withColumn("symbol", F.concat_ws(":", "name", "line_start"))
-    return intervals.innermost(extraction.lines(c, "file_id").filter("trim(line) <> ''"), spans, "file_id", "line_no", "symbol").groupBy("file_id", "symbol").agg(F.count("*").alias("lines"))
+    code = c.filter(T.extension(F.col("rel_path")).isin(*extraction.DEFINITIONS))
+    return intervals.innermost(extraction.lines(code, "file_id").filter("trim(line) <> ''"), spans, "file_id", "line_no", "symbol").groupBy("file_id", "symbol").agg(F.count("*").alias("lines"))
 
 
 @query(r"""
-select distinct file_id from (select file_id, content, list_max([length(x) for x in string_split(content, chr(10))]) longest, len(string_split(content, chr(10))) n from contents
-where content is not null and regexp_matches(lower(rel_path), '\.(js|css)$')) where longest > 1000 and n * 500 < length(content)""")
+with c as (select distinct file_id, rel_path, content, octet_length(encode(content)) n from contents where content is not null and regexp_matches(lower(rel_path), '\.(js|cjs|mjs|jsx|ts|tsx|css)$')),
+m as (select file_id, n, len(content) - len(replace(content, chr(10), '')) breaks, list_max([octet_length(encode(x)) for x in string_split(content, chr(10))]) longest,
+  len(content) - len(replace(replace(content, ' ', ''), chr(9), '')) spaces from c where n >= 20000)
+select distinct file_id from m where (n / (breaks + 1) > 300 and spaces <= 0.1 * n) or (longest > 5000 and breaks < n / 1000)""")
 def minified_files(spark, sf):
     return extraction.minified(table(spark, sf, "contents"))
 
@@ -209,45 +213,49 @@ def bounded_previews(spark, sf):
 
 # ---------------------------------------------------------------- retrieval
 
-_TERMS = r"list_distinct([w for w in string_split(lower(trim(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))), ' ') if length(w) >= 2])"
+_TERMS = r"[w for w in string_split(lower(trim(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))), ' ') if length(w) >= 2]"
 _ASK = ["render", "window", "scope", "cursor"]
 
 
 def _commit_index(spark, sf):
-    docs = table(spark, sf, "commits").groupBy("sha").agg(F.max("subject").alias("subject"), F.max("body").alias("body")).filter("sha is not null")
-    return ranking.postings(docs, "sha", T.terms(F.concat_ws(" ", "subject", "body")))
+    """Each commit's newest delivery, so that subject and body are of one row."""
+    c = table(spark, sf, "commits").filter("sha is not null and root_id is not null and id is not null")
+    last = c.groupBy("root_id", "sha").agg(F.max(F.struct("id", "subject", "body")).alias("c")).select(F.concat_ws(" ", "root_id", "sha").alias("commit"), "c.subject", "c.body")
+    return ranking.postings(last, "commit", T.terms(F.concat_ws(" ", "subject", "body")))
 
 
-_BM25 = f"""
-with d as (select sha, concat_ws(' ', max(subject), max(body)) t from commits where sha is not null group by 1),
-p as (select sha, unnest({_TERMS.format(c='t')}) term, 1 tf from d), l as (select sha, sum(tf) len from p group by 1), t as (select count(*) docs, avg(len) mean from l),
+_LAST = """
+with x as (select *, row_number() over (partition by root_id, sha order by id desc, subject desc nulls last, body desc nulls last) rn from commits where sha is not null and root_id is not null and id is not null),
+d as (select root_id || ' ' || sha as commit, concat_ws(' ', subject, body) t from x where rn = 1)"""
+_BM25 = f"""{_LAST},
+p as (select commit, term, count(*) tf from (select commit, unnest({_TERMS.format(c='t')}) term from d) group by 1, 2), l as (select commit, sum(tf) len from p group by 1), t as (select count(*) docs, avg(len) mean from l),
 h as (select * from p where term in ('render', 'window', 'scope', 'cursor')), df as (select term, count(*) df from h group by 1),
-s as (select h.sha, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 6) score from h join df using (term) join l using (sha), t group by 1)"""
+s as (select h.commit, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 6) score from h join df using (term) join l using (commit), t group by 1)"""
 
 
-@query(_BM25 + "select sha, score from s")
+@query(_BM25 + "select commit, score from s")
 def commit_search(spark, sf):
     """Every commit with a term of the query, scored by BM25."""
-    return ranking.bm25(_commit_index(spark, sf), "sha", _ASK)
+    return ranking.bm25(_commit_index(spark, sf), "commit", _ASK)
 
 
-@query(_BM25 + "select sha, score, row_number() over (order by score desc, sha) place from s order by score desc, sha limit 20")
+@query(_BM25 + "select commit, score, row_number() over (order by score desc, commit) place from s order by score desc, commit limit 20")
 def commit_search_top(spark, sf):
-    return ranking.ranked(ranking.bm25(_commit_index(spark, sf), "sha", _ASK), "score", "sha", 20)
+    return ranking.ranked(ranking.bm25(_commit_index(spark, sf), "commit", _ASK), "score", "commit", 20)
 
 
-@query(_BM25 + """, a as (select sha, row_number() over (order by score desc, sha) place from s order by score desc, sha limit 30),
-b as (select sha, row_number() over (order by n desc, sha) place from (select sha, max(id) n from commits where sha is not null group by 1) order by n desc, sha limit 30)
-select sha, round(sum(x), 6) score from (select sha, 1.0 / (5 + place) x from a union all select sha, 0.75 / (5 + place) from b) group by 1""")
+@query(_BM25 + """, a as (select commit, row_number() over (order by score desc, commit) place from s order by score desc, commit limit 30),
+b as (select commit, row_number() over (order by n desc, commit) place from (select root_id || ' ' || sha as commit, max(id) n from commits where sha is not null and root_id is not null group by 1) order by n desc, commit limit 30)
+select commit, round(sum(x), 6) score from (select commit, 1.0 / (5 + place) x from a union all select commit, 0.75 / (5 + place) from b) group by 1""")
 def fused_commits(spark, sf):
     """Reciprocal rank fusion of the keyword list and the newest commits."""
-    a = ranking.ranked(ranking.bm25(_commit_index(spark, sf), "sha", _ASK), "score", "sha", 30)
-    b = ranking.ranked(table(spark, sf, "commits").filter("sha is not null").groupBy("sha").agg(F.max("id").alias("n")), "n", "sha", 30)
-    return ranking.fuse([(a, 1.0), (b, 0.75)], "sha", 5)
+    a = ranking.ranked(ranking.bm25(_commit_index(spark, sf), "commit", _ASK), "score", "commit", 30)
+    newest = table(spark, sf, "commits").filter("sha is not null and root_id is not null").groupBy(F.concat_ws(" ", "root_id", "sha").alias("commit")).agg(F.max("id").alias("n"))
+    return ranking.fuse([(a, 1.0), (ranking.ranked(newest, "n", "commit", 30), 0.75)], "commit", 5)
 
 
 @query(f"""
-with d as (select distinct file_id, rel_path from files where rel_path is not null), p as (select file_id, unnest({_TERMS.format(c='rel_path')}) term from d),
+with d as (select distinct file_id, rel_path from files where rel_path is not null), p as (select distinct file_id, unnest({_TERMS.format(c='rel_path')}) term from d),
 n as (select count(distinct file_id) n from p) select term, count(distinct file_id) df, round(1 + ln(((select n from n) + 1) / (count(distinct file_id) + 1)), 6) weight from p group by 1""")
 def path_term_weights(spark, sf):
     docs = table(spark, sf, "files").filter("rel_path is not null").select("file_id", "rel_path").distinct()
@@ -255,7 +263,8 @@ def path_term_weights(spark, sf):
 
 
 @query(r"""
-with w as (select chunk_id, unnest([t for t in string_split(lower(regexp_replace(chunk_text_preview, '[^A-Za-z0-9]+', ' ', 'g')), ' ') if t <> '']) t from (select distinct chunk_id, chunk_text_preview from semantic_chunks where chunk_text_preview is not null)),
+with r as (select chunk_id, unnest([t for t in string_split(lower(regexp_replace(chunk_text_preview, '[^A-Za-z0-9]+', ' ', 'g')), ' ') if t <> '']) t from (select distinct chunk_id, chunk_text_preview from semantic_chunks where chunk_text_preview is not null)),
+w as (select chunk_id, t from r union all select chunk_id, x from (select chunk_id, t, unnest(regexp_extract_all(t, '[a-z]+|[0-9]+')) x from r) where x <> t),
 c as (select chunk_id, 16 * (instr('0123456789abcdef', substr(sha256(t), 7, 1)) - 1) + instr('0123456789abcdef', substr(sha256(t), 8, 1)) - 1 dim, count(*) n from w group by 1, 2)
 select chunk_id, dim, round(n / sqrt(sum(n * n) over (partition by chunk_id)), 6) weight from c""")
 def preview_vectors(spark, sf):
@@ -296,14 +305,16 @@ def change_kinds(spark, sf):
 
 
 @query("""
-with gone as (select old_path path, commit_id from commit_files where status = 'R' and old_path is not null union select path, commit_id from commit_files where status = 'D' and path is not null)
-select path, max(commit_id) commit_id from gone where path not in (select rel_path from files where rel_path is not null) group by 1""")
+with c as (select distinct id, root_id from commits where id is not null and root_id is not null),
+gone as (select c.root_id, old_path path, commit_id from commit_files f join c on f.commit_id = c.id where status = 'R' and old_path is not null union select c.root_id, path, commit_id from commit_files f join c on f.commit_id = c.id where status = 'D' and path is not null)
+select g.root_id, g.path, max(commit_id) commit_id from gone g anti join (select distinct root_id, rel_path from files where rel_path is not null) k on g.root_id = k.root_id and g.path = k.rel_path group by 1, 2""")
 def lost_paths(spark, sf):
-    """Paths that commits deleted or renamed and no file has now, with the newest such commit."""
-    c = table(spark, sf, "commit_files")
-    gone = c.filter("status = 'R' and old_path is not null").select(F.col("old_path").alias("path"), "commit_id").unionByName(c.filter("status = 'D' and path is not null").select("path", "commit_id"))
-    known = table(spark, sf, "files").select(F.col("rel_path").alias("path")).distinct()
-    return gone.groupBy("path").agg(F.max("commit_id").alias("commit_id")).join(known, "path", "left_anti")
+    """Paths that a root's commits deleted or renamed and none of its files has now, with the newest such commit."""
+    c = table(spark, sf, "commits").select(F.col("id").alias("commit_id"), "root_id").filter("commit_id is not null and root_id is not null").distinct()
+    f = table(spark, sf, "commit_files").join(c, "commit_id")
+    gone = f.filter("status = 'R' and old_path is not null").select("root_id", F.col("old_path").alias("path"), "commit_id").unionByName(f.filter("status = 'D' and path is not null").select("root_id", "path", "commit_id"))
+    known = table(spark, sf, "files").select("root_id", F.col("rel_path").alias("path")).filter("path is not null").distinct()
+    return gone.groupBy("root_id", "path").agg(F.max("commit_id").alias("commit_id")).join(known, ["root_id", "path"], "left_anti")
 
 
 @query("select root_id, id from (select root_id, id, row_number() over (partition by root_id order by id desc) rn from (select distinct root_id, id from commits)) where rn <= 50")
