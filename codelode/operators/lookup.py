@@ -222,7 +222,13 @@ def graph_scores(nodes: DataFrame, edges: DataFrame, q: Query) -> DataFrame:
     terms = q.terms
     if not terms:
         return nodes.select(*KEYS).limit(0).select(*KEYS, *[F.lit(0.0).alias(c) for c in GRAPH_SIGNALS])
-    hit = lambda col: F.array(*[F.exists(col, lambda x, t=t: matches(x, t)).cast("int") for t in terms])
+
+    def one(col: Column, t: str) -> Column:
+        return F.exists(col, lambda x: matches(x, t)).cast("int")
+
+    def hit(col: Column) -> Column:
+        return F.array(*[one(col, t) for t in terms])
+
     n = nodes.select("id", *KEYS, hit(terms_of(F.col("label"))).alias("m"))
     any_ = lambda c: F.array(*[F.max(F.col(c)[i]) for i in range(len(terms))])
     files = n.groupBy(*KEYS).agg(any_("m").alias("labels")).withColumn("path", hit(terms_of(F.col("rel_path"))))
