@@ -67,6 +67,11 @@ def size_limit(path: Column, limit: int = 1_000_000) -> Column:
 
 
 def terms(text: Column) -> Column:
+    """``term_list`` with each word once."""
+    return F.array_distinct(term_list(text))
+
+
+def term_list(text: Column) -> Column:
     """Lower-case words of two and more letters or digits, split at signs and inside camel case; in order, repeats kept."""
     split = F.regexp_replace(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+", " ")
     return F.filter(F.split(F.lower(F.trim(split)), " "), lambda w: F.length(w) >= 2)

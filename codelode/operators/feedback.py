@@ -100,3 +100,15 @@ def compared(off: DataFrame, on: DataFrame, by: str, k: int = 5) -> DataFrame:
     agg = both.groupBy(by).agg(F.min(F.when(gold, F.col("a"))).alias("a"), F.min(F.when(gold, F.col("b"))).alias("b"), F.max(F.coalesce(gold & (F.col("a") <= k) & (F.col("b").isNull() | (F.col("b") > k)), F.lit(False))).alias("pushed_out"))
     inf = F.lit(2**31 - 1)
     return agg.select(by, (F.coalesce("b", inf) < F.coalesce("a", inf)).alias("helped"), (F.coalesce("b", inf) > F.coalesce("a", inf)).alias("hurt"), "pushed_out")
+
+
+def spread(scores: DataFrame, edges: DataFrame, factors: tuple[float, ...] = (0.35, 0.15)) -> DataFrame:
+    """(id, score): scores passed on to nodes without one, over one and two hops of undirected edges, the best of what reaches a node times its hop's factor."""
+    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    known, frontier = scores.select("id", "score"), scores.select("id", F.col("score").alias("base"))
+    for factor in factors:
+        nxt = salted_join(both, frontier.withColumnRenamed("id", "source"), ["source"], ["target"]).groupBy("target").agg(F.max("base").alias("base")).select(F.col("target").alias("id"), "base")
+        nxt = nxt.join(known.select("id"), "id", "left_anti")
+        known = known.unionByName(nxt.select("id", F.round(F.col("base") * factor, 6).alias("score")))
+        frontier = nxt
+    return known

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def changes(old: DataFrame, new: DataFrame, key: list[str], digest: str, old_at: str, new_at: str) -> DataFrame:
+def changes(old: DataFrame, new: DataFrame, key: list[str], digest: str, old_at: str | None = None, new_at: str | None = None) -> DataFrame:
     """(key, status): added, removed or changed keys; equal ones have no row. Of several rows the newest counts, by ``old_at`` and ``new_at``; null digests are equal to each other."""
-    a = old.groupBy(*key).agg(F.max(F.struct(old_at, digest))[digest].alias("_old")).withColumn("_a", F.lit(True))
-    b = new.groupBy(*key).agg(F.max(F.struct(new_at, digest))[digest].alias("_new")).withColumn("_b", F.lit(True))
+
+    def last(at: str | None):
+        return F.max(F.struct(F.col(at).alias("_at") if at else F.lit(0).alias("_at"), F.col(digest).alias("_d")))["_d"]
+
+    a = old.groupBy(*key).agg(last(old_at).alias("_old")).withColumn("_a", F.lit(True))
+    b = new.groupBy(*key).agg(last(new_at).alias("_new")).withColumn("_b", F.lit(True))
     status = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
     return a.join(b, key, "full_outer").select(*key, status.alias("status")).filter("status is not null")
 

@@ -52,9 +52,10 @@ def fuse(lists: list[tuple[DataFrame, float]], key: str, k: int) -> DataFrame:
     return parts.groupBy(key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
-def merge_semantic(base: DataFrame, semantic: DataFrame, keys: list[str]) -> DataFrame:
+def merge_semantic(base: DataFrame, semantic: DataFrame, keys: list[str] | str) -> DataFrame:
     """(keys, score) with whole scores: a full outer merge. A known row gains 0.35 of its semantic score, cut to a whole number, at least 8 and at most 35;
     a new one enters with its semantic score, at most 80."""
+    keys = [keys] if isinstance(keys, str) else keys
     gain = F.greatest(F.lit(8), F.least(F.lit(35), (F.col("sem") * 0.35).cast("int")))
     both = base.select(*keys, F.col("score").alias("base")).join(semantic.select(*keys, F.col("score").alias("sem")), keys, "full_outer")
     score = F.when(F.col("sem").isNull(), F.col("base")).when(F.col("base").isNull(), F.least(F.lit(80), F.col("sem"))).otherwise(F.col("base") + gain)

@@ -34,7 +34,7 @@ DEFINES: dict[str, list[tuple[str, str]]] = {
     "java": [("class", rf"^[ \t]*{_MOD}(?:class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)"), ("method", rf"^[ \t]+{_MOD}(?:<[^>\n]+>\s*)?[\w<>\[\],.?]+\s+([A-Za-z_]\w*)\s*\([^)\n;]*\)\s*(?:throws [\w, .]+)?\{{")],
     "kotlin": [("class", rf"^[ \t]*{_MOD}(?:class|interface|object|enum class)\s+([A-Za-z_]\w*)"), ("function", rf"^[ \t]*{_MOD}fun\s+(?:<[^>]+>\s*)?(?:[\w.]+\.)?([A-Za-z_]\w*)")],
     "csharp": [("class", rf"^[ \t]*{_MOD}(?:class|interface|enum|record|struct)\s+([A-Za-z_]\w*)"), ("method", rf"^[ \t]+{_MOD}[\w<>\[\],.?]+\s+([A-Za-z_]\w*)\s*\([^)\n;]*\)\s*\{{?\s*$")],
-    "php": [("class", rf"^[ \t]*{_MOD}(?:class|interface|trait|enum)\s+([A-Za-z_]\w*)"), ("function", rf"^[ \t]*{_MOD}function\s+&?([A-Za-z_]\w*)")],
+    "php": [("class", rf"^[ \t]*{_MOD}(?:class|interface|trait|enum)\s+([A-Za-z_]\w*)"), ("function", rf"(?:^|[{{;}}])[ \t]*{_MOD}function\s+&?([A-Za-z_]\w*)")],
     "swift": [("class", rf"^[ \t]*{_MOD}(?:class|struct|enum|protocol|extension|actor)\s+([A-Za-z_]\w*)"), ("function", rf"^[ \t]*{_MOD}func\s+([A-Za-z_]\w*)")],
     "ruby": [("class", r"^[ \t]*(?:class|module)\s+(?:\w+::)*([A-Z]\w*)"), ("function", r"^[ \t]*def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)")],
     "scala": [("class", rf"^[ \t]*{_MOD}(?:case\s+)?(?:class|object|trait|enum)\s+([A-Za-z_]\w*)"), ("function", rf"^[ \t]*{_MOD}def\s+([A-Za-z_]\w*)")],

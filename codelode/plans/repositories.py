@@ -221,7 +221,7 @@ def _commit_index(spark, sf):
     """Each commit's newest delivery, so that subject and body are of one row."""
     c = table(spark, sf, "commits").filter("sha is not null and root_id is not null and id is not null")
     last = c.groupBy("root_id", "sha").agg(F.max(F.struct("id", "subject", "body")).alias("c")).select(F.concat_ws(" ", "root_id", "sha").alias("commit"), "c.subject", "c.body")
-    return ranking.postings(last, "commit", T.terms(F.concat_ws(" ", "subject", "body")))
+    return ranking.postings(last, "commit", T.term_list(F.concat_ws(" ", "subject", "body")))
 
 
 _LAST = """
@@ -436,4 +436,4 @@ def recall_at_3(spark, sf):
 
 @query("select o_orderpriority, quantile_disc(o_totalprice, 0.95) o_totalprice from orders group by 1")
 def price_p95(spark, sf):
-    return evaluation.nearest_rank(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", 0.95)
+    return evaluation.nearest_rank_ranges(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", 0.95)

@@ -53,3 +53,41 @@ def file_manifest(files: DataFrame) -> DataFrame:
     """(rel_path, hash, mtime): the newest hash of each path; rows without path or hash are skipped."""
     rows = files.filter("rel_path is not null and hash is not null")
     return rows.groupBy("rel_path").agg(F.max(F.struct("mtime", "hash")).alias("m")).select("rel_path", "m.hash", "m.mtime")
+
+
+def _json_text(col):
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(col, "&", "\\\\u0026"), "<", "\\\\u003c"), ">", "\\\\u003e")
+
+
+def html_lines(nodes: DataFrame, edges: DataFrame, title: str) -> DataFrame:
+    """(place, line): a page that shows a graph without loading anything: its data as escaped JSON lines and a small script that lists and filters them."""
+    spark = nodes.sparkSession
+    head = (
+        '<!doctype html><meta charset="utf-8"><title>' + title.replace("&", "&amp;").replace("<", "&lt;") + "</title><input id=f placeholder=filter><pre id=o></pre>"
+        "<script>const g=[];const show=()=>{const t=f.value.toLowerCase();o.textContent=g.filter(x=>JSON.stringify(x).toLowerCase().includes(t)).map(x=>x.label||`${x.source} -${x.relation}-> ${x.target}`).join('\\n')};f.oninput=show;"
+    )
+    ends = spark.createDataFrame([("0", head), ("3", "show();</script>")], "place string, line string")
+    n = nodes.select(F.concat(F.lit("1"), "id").alias("place"), F.concat(F.lit("g.push("), _json_text(F.to_json(F.struct("id", "label"))), F.lit(");")).alias("line"))
+    e = edges.select(F.concat(F.lit("2"), F.concat_ws(" ", "source", "target", "relation")).alias("place"), F.concat(F.lit("g.push("), _json_text(F.to_json(F.struct("source", "target", "relation"))), F.lit(");")).alias("line"))
+    return ends.unionByName(n).unionByName(e).orderBy("place", "line")
+
+
+def note_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root_id, name, text): one linked note for each file: its symbols, and links to the notes of the files its edges lead to. Names that only differ in signs a file name cannot have get a number from the path's hash."""
+    files = nodes.filter("kind = 'file'").select("id", "root_id", "rel_path")
+    clean = F.regexp_replace("rel_path", r"[^A-Za-z0-9._ -]+", "-")
+    same = files.withColumn("_c", F.lower(clean)).groupBy("root_id", "_c").agg(F.count("*").alias("_n"))
+    named = files.withColumn("_c", F.lower(clean)).join(same, ["root_id", "_c"]).select("root_id", "rel_path", F.when(F.col("_n") > 1, F.concat(clean, F.lit("-"), F.substring(F.sha2("rel_path", 256), 1, 8))).otherwise(clean).alias("name"))
+    symbols = nodes.filter("kind <> 'file'").groupBy("root_id", "rel_path").agg(F.array_sort(F.collect_list(F.struct("line_start", "label"))).alias("s"))  # the symbols of one file
+    ends = nodes.select("id", "root_id", "rel_path")
+    s, t = ends.withColumnsRenamed({"id": "source", "rel_path": "_s"}).drop("root_id"), ends.withColumnsRenamed({"id": "target", "rel_path": "_t"}).drop("root_id")
+    to = edges.filter("relation <> 'defines'").join(s, "source").join(t, "target").filter("_s <> _t").select("root_id", F.col("_s").alias("rel_path"), "_t", "relation").distinct()
+    links = to.join(named.select("root_id", F.col("rel_path").alias("_t"), F.col("name").alias("_name")), ["root_id", "_t"]).groupBy("root_id", "rel_path").agg(F.array_sort(F.collect_set(F.concat(F.lit("- "), "relation", F.lit(" [["), "_name", F.lit("]]")))).alias("l"))
+    rows = named.join(symbols, ["root_id", "rel_path"], "left").join(links, ["root_id", "rel_path"], "left")
+    own = F.transform(F.coalesce("s", F.array().cast("array<struct<line_start:int,label:string>>")), lambda x: F.concat(F.lit("- `"), x["label"], F.lit("`")))
+    return rows.select("root_id", F.concat("name", F.lit(".md")).alias("name"), F.array_join(F.concat(F.array(F.concat(F.lit("# "), "rel_path")), own, F.coalesce("l", F.array().cast("array<string>"))), "\n").alias("text"))
+
+
+def newest_files(listing: DataFrame, keep: int = 20) -> DataFrame:
+    """The rows of a listing (path, modification_time) that are kept: the ``keep`` newest, ties by path."""
+    return listing.orderBy(F.desc("modification_time"), "path").limit(keep)

@@ -149,7 +149,7 @@ def test_sources_and_sinks(spark, tmp_path):
     sheet = _zip(xl__workbook='<w><sheet name="S"/></w>', xl__sharedStrings="<s><si><t>hi</t></si></s>", xl__worksheets__sheet1='<w><row><c t="s"><v>0</v></c><c><v>2</v></c></row></w>')
     assert tree.document_parts("a.xlsx", sheet) == ("ok", [("sheet", 1, "S", "hi\t2")])
     assert tree.document_parts("a.svg", b"<svg><title>T</title><text>x</text></svg>")[1] == [("document", 1, "T", "T\nx")]
-    assert tree.document_parts("a.svg", b"<!DOCTYPE a><svg/>")[0] == "unreadable" and tree.document_parts("a.pdf", b"")[0] == "unsupported"
+    assert tree.document_parts("a.svg", b"<!DOCTYPE a><svg/>")[0] == "unreadable" and tree.document_parts("a.pdf", b"")[0] == "unreadable" and tree.document_parts("a.odt", b"")[0] == "unsupported"
     commits, files = tree.commit_tables(spark, "s2\x1f2024-01-02T00:00:00Z\x1fsecond\x1f\x1f\nR100\ta.py\tb.py\n\x1es1\x1f2024-01-01T00:00:00Z\x1ffirst\x1fbody\x1f\nA\ta.py\n\x1e")
     assert [(r.id, r.sha) for r in commits.orderBy("id").collect()] == [(1, "s1"), (2, "s2")]
     assert {tuple(r) for r in files.collect()} == {(1, "A", "a.py", None), (2, "R", "b.py", "a.py")}
@@ -175,14 +175,20 @@ def test_privacy(spark):
 
 
 def test_feedback(spark):
+    """The contract: Jaccard squared times the best evidence, half the top score for a full weight, a quarter taken for ignored files, 0.8 for unused ones."""
     from codelode.operators import feedback as B
 
-    rec = spark.createDataFrame([("fix render window", ["a"], None, ["b"], None), ("render window again", ["a"], ["c"], None, ["d"]), ("other thing", ["z"], None, None, None)], "query string, changed array<string>, missed array<string>, opened array<string>, ignored array<string>")
-    s = {r.path: r.signal for r in B.signals(rec, "render window").collect()}
-    assert set(s) == {"a", "b", "c", "d"} and s["a"] > s["c"] > s["b"] > 0 > s["d"]
-    rows = spark.createDataFrame([("a", 10.0), ("d", 10.0), ("n", 5.0)], "path string, score double")
-    got = {r.path: r.score for r in B.apply(rows, B.signals(rec, "render window")).collect()}
-    assert got["a"] > 10 > got["d"] and got["n"] == 5.0 and got["c"] > 0
+    S = "root_id string, query string, outcome string, suggested array<string>, opened array<string>, changed array<string>, missed array<string>, ignored array<string>"
+    rec = spark.createDataFrame([
+        ("r", "render window", "passed", ["u"], ["b"], ["a"], None, ["d", "external:x"]), ("r", "render window twice", None, ["u"], None, ["a"], ["c"], ["d"]), ("r", "window render scope", "failed", ["u"], ["b"], None, None, None),
+        ("r", "other thing", "passed", None, None, ["z"], None, None), ("r", None, None, None, None, ["z"], None, None),
+    ], S)
+    s = {r.rel_path: r for r in B.signals(rec, "render window").collect()}
+    assert set(s) == {"a", "b", "c", "d", "u"} and s["a"].weight == round(1 + 4 / 9, 6) and s["c"].weight == round(4 / 9, 6)
+    assert s["b"].weight == round(0.4 + 4 / 9 * 0.4 * 0.3, 6) and s["d"].weight == round(-0.3 - 0.3 * 4 / 9, 6) and s["u"].unused and not s["a"].unused and s["a"].helped == 2
+    rows = spark.createDataFrame([("r", "a", 100), ("r", "d", 100), ("r", "n", 5), ("r", "u", 10)], "root_id string, rel_path string, score int")
+    got = {r.rel_path: r.score for r in B.apply(rows, B.signals(rec, "render window")).collect()}
+    assert got == {"a": 150, "d": 100 - 11, "n": 5, "u": 8, "b": 23, "c": 22}
     assert B.signals(rec.limit(0), "x").count() == 0
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "source string, target string")
     assert {(r.id, r.score) for r in B.spread(spark.createDataFrame([("a", 10.0)], "id string, score double"), e).collect()} == {("a", 10.0), ("b", 3.5), ("c", 1.5)}
