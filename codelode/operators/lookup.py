@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from codelode.functions import roles as R
 from codelode.functions.query import MIGRATIONS, PLUMBING, Query, body_words, code_names, is_file_name, matches, mentions, named_identifiers, plain_tokens, terms_of, whole_name
 from codelode.operators.joins import salted_join
+from codelode.session import cut
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Files that get a keyword boost, rows of the learned pool, places of a list that take part in a fusion.
@@ -69,7 +70,8 @@ def bm25(rows: DataFrame, by: str, arrays: dict[str, float], terms: list[str], p
 
     size = reduce(lambda a, b: a + b, [F.size(c) for c in arrays])
     # one expression over the terms, so the plan does not grow with the query
-    counted = rows.withColumn("_tf", F.transform(F.array(*map(F.lit, terms)), hits)).withColumn("_len", size)
+    counted = rows.withColumn("_tf", F.transform(F.array(*map(F.lit, terms)), hits)).withColumn("_len", size).drop(*arrays)
+    counted = cut(counted)  # counts alone are kept, so no text is split twice
     stats = counted.groupBy(by).agg(F.count("*").alias("_n"), F.avg("_len").alias("_mean"), F.array(*[F.sum((F.col("_tf")[i] > 0).cast("int")) for i in range(len(terms))]).alias("_df"))
     found = counted.filter(F.exists("_tf", lambda x: x > 0))
     scored = salted_join(found, stats, [by], ["_len", "_tf"])
@@ -229,7 +231,7 @@ def graph_scores(nodes: DataFrame, edges: DataFrame, q: Query) -> DataFrame:
     def hit(col: Column) -> Column:
         return F.array(*[one(col, t) for t in terms])
 
-    n = nodes.select("id", *KEYS, hit(terms_of(F.col("label"))).alias("m"))
+    n = cut(nodes.select("id", *KEYS, hit(terms_of(F.col("label"))).alias("m")))
     any_ = lambda c: F.array(*[F.max(F.col(c)[i]) for i in range(len(terms))])
     files = n.groupBy(*KEYS).agg(any_("m").alias("labels")).withColumn("path", hit(terms_of(F.col("rel_path"))))
     df = files.groupBy("root_id").agg(F.count("*").alias("N"), F.array(*[F.sum(F.greatest(F.col("labels")[i], F.col("path")[i])) for i in range(len(terms))]).alias("df"))
@@ -473,13 +475,12 @@ def find(index: DataFrame, symbols: DataFrame, pieces: DataFrame, text: str, lim
     """
     from codelode.operators import feedback
     from codelode.operators.ranking import merge_semantic
-    from codelode.session import cut
 
     q = Query(text)
     rows = content_scores(index, q)
     if nodes is not None and edges is not None:
         rows = merged(rows, graph_scores(nodes, edges, q))
-    rows = reranked(definition_lift(rows, symbols, q))
+    rows = reranked(cut(definition_lift(rows, symbols, q)))  # the pool is read for its order, its scores and the rest
     if q.fuses:
         rows = fused(cut(rows), piece_file_ranking(index, pieces, symbols, q), 5, 0.75, q)
     rows = cut(rows.select(*KEYS, "score"))
