@@ -204,3 +204,26 @@ def graph_report(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFram
     rows = head.unionByName(top)
     order = Window.partitionBy("root_id").orderBy("part", "place")
     return rows.select("root_id", F.row_number().over(order).alias("place"), "line")
+
+
+def file_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root_id, source, target, relation): the edges lifted to files, each once, none from a file to itself; ends are paths."""
+    ends = nodes.select("id", "rel_path")
+    s, t = ends.withColumnsRenamed({"id": "source", "rel_path": "_s"}), ends.withColumnsRenamed({"id": "target", "rel_path": "_t"})
+    rows = edges.join(s, "source").join(t, "target").filter("_s <> _t")
+    return rows.select("root_id", F.col("_s").alias("source"), F.col("_t").alias("target"), "relation").distinct()
+
+
+def partner_links(links: DataFrame, missed: DataFrame, found: DataFrame, depth: int = 3) -> DataFrame:
+    """(root_id, rel_path, hops, relations): for files a ranking missed (root_id, rel_path) the fewest undirected hops, at most ``depth``, to a file it found, and the direct
+    relations between them with their direction. ``links`` is a ``file_links`` table; a missed file out of reach has null hops."""
+    both = links.select("root_id", "source", "target").unionByName(links.select("root_id", F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    key = lambda c: F.concat_ws("\x1f", "root_id", c)
+    steps = both.select(key("source").alias("source"), key("target").alias("target"))
+    near = graph.reach(steps, found.select(key("rel_path").alias("id")).distinct(), depth)
+    rows = missed.select("root_id", "rel_path", key("rel_path").alias("id")).distinct().join(near, "id", "left").drop("id")
+    hit = found.select("root_id", F.col("rel_path").alias("_f")).distinct()
+    out = links.withColumn("_r", F.concat(F.lit("-"), "relation", F.lit("->"))).select("root_id", F.col("source").alias("rel_path"), F.col("target").alias("_f"), "_r")
+    into = links.withColumn("_r", F.concat(F.lit("<-"), "relation", F.lit("-"))).select("root_id", F.col("target").alias("rel_path"), F.col("source").alias("_f"), "_r")
+    direct = out.unionByName(into).join(hit, ["root_id", "_f"], "left_semi").groupBy("root_id", "rel_path").agg(F.array_sort(F.collect_set("_r")).alias("relations"))
+    return rows.join(direct, ["root_id", "rel_path"], "left").select("root_id", "rel_path", "hops", F.coalesce("relations", F.array().cast("array<string>")).alias("relations"))

@@ -277,3 +277,15 @@ def methods(defs: DataFrame) -> DataFrame:
     """Definitions whose owner is a class of the same file."""
     classes = defs.filter("kind = 'class'").select("root_id", "rel_path", F.col("name").alias("owner")).distinct()
     return defs.filter("kind in ('function', 'method')").join(classes, ["root_id", "rel_path", "owner"], "left_semi")
+
+
+def merged_rules(defs: DataFrame) -> DataFrame:
+    """Style rules of one name and kind in a file as one: from the first, to the last if no gap between two of them is more than one blank line, else the first alone."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("root_id", "rel_path", "name", "kind").orderBy("line_start", "line_end")
+    rows = defs.withColumn("_gap", F.col("line_start") - F.lag("line_end").over(w))
+    close = F.max(F.coalesce(F.col("_gap") > 2, F.lit(False)).cast("int")) == 0
+    return rows.groupBy("root_id", "rel_path", "name", "kind").agg(F.min(F.struct("line_start", "line_end")).alias("f"), F.max("line_end").alias("_last"), close.alias("_close")).select(
+        "root_id", "rel_path", "name", "kind", "f.line_start", F.when(F.col("_close"), F.col("_last")).otherwise(F.col("f.line_end")).alias("line_end")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codelode.functions import roles as R
 from codelode.functions.query import STOPWORDS, Query, body_words, code_names
 from codelode.operators import extraction, feedback, lookup, ranking
+from codelode.plans.repositories import _DEFINED
 from codelode.session import cut, table
 
 QUERIES, ORACLE = {}, {}
@@ -222,6 +223,23 @@ def feedback_stats(spark, sf):
     return feedback.stats(_records(spark, sf))
 
 
+_LIFTED = _CONTENT.replace("metadata_text, coalesce(c.content", "metadata_text, coalesce(size, 0) size, coalesce(c.content").replace("\nwith f0", "\nwith " + _DEFINED + ",\nf0") + f""",
+df as (select distinct c.root_id, c.rel_path from contents c join defs d on c.file_id = d.file_id where d.name in ('parse_scope') and c.root_id is not null and c.rel_path is not null and c.content is not null),
+li as (select i6.* exclude (score), i6.score s0, case when df.root_id is null then 0 else 1 end named_defs, case when df.root_id is null then i6.score else trunc(i6.score * 1.1) end::int score from i6 left join df using (root_id, rel_path)),
+pl as (select *, row_number() over (partition by root_id order by score desc, rel_path) place from li), po as (select * from pl where place <= 50),
+le as (select root_id, rel_path, place, score, round({_LEARN.replace("score / content_score", "s0 / content_score")} + round(ln(1 + named_defs), 3) * {lookup.WEIGHTS['named_defs']}, 3) learned from po),
+ne as (select root_id, rel_path, row_number() over (partition by root_id order by learned desc, place) place from le),
+ho as (select n.root_id, n.rel_path, l.score from ne n join le l on n.root_id = l.root_id and n.place = l.place union all select root_id, rel_path, score from pl where place > 50),
+pg as (select *, row_number() over (partition by root_id order by score desc, rel_path) place from ho)
+select root_id, rel_path, place::int place, score from pg where place <= 10"""
+
+
+@query(_LIFTED)
+def ranked_page(spark, sf):
+    """The page of the ranked lookup itself: ten files of each root with place and score."""
+    return lookup.find(_index(spark, sf), _symbols(spark, sf), _pieces(spark, sf), TASK, 10).select("root_id", "rel_path", "place", "score")
+
+
 @query()
 def ranked_files(spark, sf):
     """The ten best files of each root for a short task, with their evidence and line ranges."""

@@ -158,7 +158,14 @@ def resolved_imports(spark, sf):
     return extraction.resolve_imports(extraction.imports(c), c.select("root_id", "rel_path"))
 
 
-@query()
+_DEF_LINES = "(select distinct file_id, content, lower(regexp_extract(rel_path, '[.]([A-Za-z0-9]+)$', 1)) ext from contents where content is not null)"
+_DEFINED = f"""
+l as (select file_id, ext, unnest(string_split(content, chr(10))) line, generate_subscripts(string_split(content, chr(10)), 1) line_no from {_DEF_LINES} where ext in ({", ".join(f"'{e}'" for e in extraction.DEFINITIONS)})),
+k as (select file_id, line_no, case ext {" ".join(f"when '{e}' then regexp_extract(regexp_replace(line, chr(13) || '$', ''), '{c}', 1)" for e, (_, c) in extraction.DEFINITIONS.items())} end typ, case ext {" ".join(f"when '{e}' then regexp_extract(regexp_replace(line, chr(13) || '$', ''), '{f}', 1)" for e, (f, _) in extraction.DEFINITIONS.items())} end fun from l),
+defs as (select file_id, case when typ <> '' then typ else fun end as name, case when typ <> '' then 'class' else 'function' end kind, line_no::int line_start from k where typ <> '' or fun <> '')"""
+
+
+@query("with " + _DEFINED + " select file_id, name, kind, line_start from defs")
 def symbol_definitions(spark, sf):
     return extraction.definitions(table(spark, sf, "contents"))
 
@@ -398,7 +405,8 @@ def session_windows(spark, sf):
     return sessions.windows(_session_events(spark, sf))
 
 
-@query()
+@query(_SESSIONS + """, t as (select e.session, (select max(q.qstart) from q where q.session = e.session and q.qstart <= e.ts) qstart, e.action, e.ts, e.path from ev e where e.action in ('opened', 'changed'))
+select t.session, t.qstart as "start", w.qend as "end", count(distinct path) filter (where action = 'opened') opened, count(distinct path) filter (where action = 'changed') changed from t join w on t.session = w.session and t.qstart = w.qstart where t.ts <= w.qend group by 1, 2, 3""")
 def session_records(spark, sf):
     return sessions.records(_session_events(spark, sf))
 

@@ -219,3 +219,13 @@ def test_graph_lineage(spark):
     assert {(r.rel_path, r.symbol_id) for r in resolve.resolve_tables(refs, t).collect()} == {("t1.sql", "i2"), ("q.sql", "i1")} and resolve.resolve_only(refs, t).count() == 0
     e = spark.createDataFrame([("h", f"n{i}") for i in range(50)], "source string, target string")
     assert graph.reach(e, spark.createDataFrame([("n1",)], "id string"), 2, undirected=True).count() == 51
+
+
+def test_partners_and_merged_definitions(spark):
+    links = spark.createDataFrame([("r", "a", "b", "imports"), ("r", "b", "c", "calls"), ("r", "c", "d", "calls"), ("r", "d", "e", "calls"), ("q", "a", "e", "imports")], "root_id string, source string, target string, relation string")
+    missed, found = spark.createDataFrame([("r", "b"), ("r", "d"), ("r", "e")], "root_id string, rel_path string"), spark.createDataFrame([("r", "a")], "root_id string, rel_path string")
+    got = {r.rel_path: (r.hops, r.relations) for r in codegraph.partner_links(links, missed, found).collect()}
+    assert got == {"b": (1, ["<-imports-"]), "d": (3, []), "e": (None, [])}
+    d = spark.createDataFrame([("r", "f", "s.css", "css", "rule", ".x", "", 1, 2), ("r", "f", "s.css", "css", "rule", ".x", "", 4, 5), ("r", "f", "s.css", "css", "rule", ".y", "", 7, 8), ("r", "f", "s.css", "css", "rule", ".y", "", 20, 21)], "root_id string, file_id string, rel_path string, language string, kind string, name string, owner string, line_start int, line_end int")
+    assert {(r.name, r.line_start, r.line_end) for r in symbols.merged_rules(d).collect()} == {(".x", 1, 5), (".y", 7, 8)}
+    assert {(r.name, r.line_start, r.line_end) for r in symbols.merged_clauses(d).collect()} == {(".x", 1, 5), (".y", 7, 21)}
