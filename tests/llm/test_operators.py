@@ -1,6 +1,7 @@
 """Small cases of every operator of the package: nulls, empty and long texts, ties, repeats, empty tables, foreign columns."""
 
 import json
+import os
 import random
 
 import numpy as np
@@ -140,6 +141,29 @@ def test_neighbors_are_exact(spark, monkeypatch):
     assert neighbors.nearest(neighbors.usable(df.limit(0)), F.lit(True), 5).count() == 0
 
 
+def test_neighbors_shuffle_no_copies(spark, monkeypatch, tmp_path):
+    """More blocks of queries and more shards bring the same rows and no more bytes to disk (before, 40 blocks shuffled every vector 40 times)."""
+    r = random.Random(4)
+    rows = {f"{i:05x}": json.dumps({str(d): r.randint(1, 4) for d in r.sample(range(256), 8)}) for i in range(4000)}
+    monkeypatch.setattr(neighbors, "LEAF_SIZE", 50)
+    spark.createDataFrame(list(rows.items()), "chunk_id string, vector_json string").write.parquet(str(tmp_path / "chunks"))
+    vectors = neighbors.usable(spark.read.parquet(str(tmp_path / "chunks")))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    took, got = [], []
+    for shard, block in ((4000, 4000), (100, 100)):
+        monkeypatch.setattr(neighbors, "SHARD_SIZE", shard)
+        monkeypatch.setattr(neighbors, "BLOCK_SIZE", block)
+        began = written()
+        got.append({tuple(x) for x in neighbors.nearest(vectors, F.lit(True), 5, 1.0).collect()})
+        took.append(written() - began)
+    assert got[0] == got[1] and len(got[0]) == 5 * len(rows)
+    best = _brute(rows, 5)
+    assert {(a, b) for a, b, _, _ in got[1]} == {(a, b) for a in best for b in best[a]}
+    assert took[1] < 2 * took[0]
+    left = spark.conf.get("spark.checkpoint.dir")
+    assert not [x for x in os.listdir(left.removeprefix("file:")) if x.startswith("shards-")]
+
+
 def test_factor_one_is_exact_and_less_prunes():
     x = neighbors.unpack([neighbors.pack(json.dumps({str(d): w for d, w in zip(np.random.default_rng(i).integers(0, 40, 6).tolist(), range(1, 7))})) for i in range(4000)]).astype(np.float32)
     tree, q = neighbors.VpTree(x), x[:50]
