@@ -164,6 +164,35 @@ def test_neighbors_shuffle_no_copies(spark, monkeypatch, tmp_path):
     assert not [x for x in os.listdir(left.removeprefix("file:")) if x.startswith("shards-")]
 
 
+def test_neighbors_count_equal_vectors_once(spark, monkeypatch, tmp_path):
+    """Copies under other ids make no more shards (before, one for every SHARD_SIZE rows), and the rows stay those of brute force; nothing large is broadcast."""
+    r = random.Random(5)
+    base = [json.dumps({str(d): r.randint(1, 4) for d in r.sample(range(256), 6)}) for _ in range(120)]
+    rows = {f"{r.getrandbits(40):010x}": v for i, v in enumerate(base) for _ in range(12 if i % 3 else 2)}
+    rows |= {f"{r.getrandbits(40):010x}": json.dumps({d: 2 * w for d, w in json.loads(v).items()}) for v in base[:60]}
+    rows |= {f"{r.getrandbits(40):010x}": '{"7": 0.0}' for _ in range(9)}
+    for name, n in (("LEAF_SIZE", 10), ("SHARD_SIZE", 50), ("BLOCK_SIZE", 40), ("TASKS", 9)):
+        monkeypatch.setattr(neighbors, name, n)
+    made, write = [], neighbors._write_shards
+    monkeypatch.setattr(neighbors, "_write_shards", lambda v, shards, *rest: made.append(shards) or write(v, shards, *rest))
+    spark.createDataFrame(list(rows.items()), "chunk_id string, vector_json string").write.parquet(str(tmp_path / "chunks"))
+    found = neighbors.nearest(neighbors.usable(spark.read.parquet(str(tmp_path / "chunks"))), F.lit(True), 5, 1.0)
+    best = _brute(rows, 5)
+    have: dict = {a: [] for a in rows}
+    for x in found.orderBy("chunk_id", "rank").collect():
+        have[x.chunk_id].append(x.neighbor_id)
+    assert have == {a: list(b) for a, b in best.items()}
+    assert made[0] <= 6 and "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_known_similarity_prunes_without_loss():
+    """Where k points elsewhere are as similar as can be, only what lies at the query itself is visited (before, known changed no visit)."""
+    x = neighbors.unpack([neighbors.pack(json.dumps({str(d): w for d, w in zip(np.random.default_rng(i).integers(0, 40, 6).tolist(), range(1, 7))})) for i in range(4000)]).astype(np.float32)
+    tree = neighbors.VpTree(x)
+    qi, pi = tree.search(x[:50], 3, 0.5, np.ones(50))
+    assert set(zip(qi.tolist(), pi.tolist())) >= {(i, i) for i in range(50)} and tree.visited < 0.25 * 50 * len(x)
+
+
 def test_factor_one_is_exact_and_less_prunes():
     x = neighbors.unpack([neighbors.pack(json.dumps({str(d): w for d, w in zip(np.random.default_rng(i).integers(0, 40, 6).tolist(), range(1, 7))})) for i in range(4000)]).astype(np.float32)
     tree, q = neighbors.VpTree(x), x[:50]
